@@ -304,43 +304,53 @@ def body_literal(spark, sf_dir):
     return scan.body_hits(documents(spark, sf_dir), sigs, "doc_id").select("doc_id", "name")
 
 
-#: Name, pattern, and what SQL says of the text (patterns over ASCII, so that bytes and characters agree).
+#: Bytes that are not alphanumeric, in upper-case hex.
+_W = "(?:[0-289A-F].|3[A-F]|40|5[B-F]|60|7[B-F])"
+#: Two bytes that are none of of, an, to.
+_NONE = "(?:[^67]...|6[^F1]..|6F[^6].|6F6[^6]|61[^6].|616[^E]|7[^4]..|74[^6].|746[^F])"
+#: Name, pattern, and the same as a regex over the upper-case hex of the text, aligned to bytes. All have their
+#: anchor first: a variable skip before it would pin a rule to byte 0.
 WILDCARDS = [
-    ("literal", hexed("tion of "), "contains(text, 'tion of ')"),
-    ("any", "74??65206f66", "regexp_matches(text, '(?s)t[\\x00-\\x7f]e of')"),
-    ("high", "7468652?6f66", "regexp_matches(text, 'the[\\x20-\\x2f]of')"),
-    ("low", "746865?06f66", "regexp_matches(text, '(?s)the[\\x00\\x10\\x20\\x30\\x40\\x50\\x60\\x70]of')"),
-    ("skip", "74686520{3}6f6620", "regexp_matches(text, '(?s)the [\\x00-\\x7f]{3}of ')"),
-    ("range", "74686520{2-6}6f6620", "regexp_matches(text, '(?s)the [\\x00-\\x7f]{2,6}of ')"),
-    ("most", "74686520{-4}6f6620", "regexp_matches(text, '(?s)the [\\x00-\\x7f]{0,4}of ')"),
-    ("least", "74686520{200-}6f6620", "regexp_matches(text, '(?s)the [\\x00-\\x7f]{200,}of ')"),
-    ("brackets", "74686520[2-6]6f6620", "regexp_matches(text, '(?s)the [\\x00-\\x7f]{2,6}of ')"),
-    ("any_length", "74686520*616e616e", "regexp_matches(text, '(?s)the .*anan')"),
-    ("either", "746865(206f66|20616e)6420", "regexp_matches(text, 'the( of| an)d ')"),
-    ("neither", "74686520!(6f66|616e|746f)20", "regexp_matches(text, '(?s)the ([^oat][\\x00-\\x7f]|o[^f]|a[^n]|t[^o]) ')"),
-    ("word_end", "74696f6e(W)74686520", "regexp_matches(text, '(?s)tion[\\x00-\\x2f:-@\\[-`{-\\x7f]the ')"),
-    ("line_end", "6e2e(L)54", "regexp_matches(text, 'n\\.(\\n|\\r\\n?)T')"),
-    ("bound", "20(B)7468652074", "contains(text, ' the t')"),
+    ("literal", hexed("tion of "), "74696F6E206F6620"),
+    ("any", "74??65206f66", "74..65206F66"),
+    ("high", "7468652?6f66", "7468652.6F66"),
+    ("low", "746865?06f66", "746865.06F66"),
+    ("skip", "74686520{3}6f6620", "74686520(?:..){3}6F6620"),
+    ("range", "74686520{2-6}6f6620", "74686520(?:..){2,6}6F6620"),
+    ("most", "74686520{-4}6f6620", "74686520(?:..){0,4}6F6620"),
+    ("least", "74686520{200-}6f6620", "74686520(?:..){200,}6F6620"),
+    ("brackets", "74686520[2-6]6f6620", "74686520(?:..){2,6}6F6620"),
+    ("any_length", "74686520*616e616e", "74686520(?:..)*616E616E"),
+    ("either", "746865(206f66|20616e)6420", "746865(?:206F66|20616E)6420"),
+    ("neither", "74686520!(6f66|616e|746f)20", f"74686520{_NONE}20"),
+    ("word_end", "74696f6e(W)74686520", f"74696F6E{_W}74686520"),
+    ("line_end", "6e2e(L)54", "6E2E(?:0A|0D0A|0D)54"),
+    ("bound", "20(B)7468652074", "207468652074"),
 ]
 
 
-@query("SELECT doc_id, " + ", ".join(f"{sql} AS w_{name}" for name, _, sql in WILDCARDS) + " FROM documents WHERE strlen(text) = length(text)")
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(x, '^(?:..)*{regex}') AS w_{name}" for name, _, regex in WILDCARDS) + " FROM (SELECT doc_id, hex(encode(text)) AS x FROM documents)")
 def body_wildcards(spark, sf_dir):
-    """One rule for each token of the pattern language, natively, over documents of ASCII text (where SQL's characters are bytes)."""
-    docs = documents(spark, sf_dir).filter(F.octet_length("content") == F.length(F.decode("content", "UTF-8")))
-    # a variable skip before the anchor pins a rule to byte 0; these all have their anchor first
-    return docs.select("doc_id", *[scan.matches(F.col("content"), Pattern.parse(p)).alias(f"w_{name}") for name, p, _ in WILDCARDS])
+    """One rule for each token of the pattern language, natively."""
+    return documents(spark, sf_dir).select("doc_id", *[scan.matches(F.col("content"), Pattern.parse(p)).alias(f"w_{name}") for name, p, _ in WILDCARDS])
+
+
+@query("SELECT doc_id, 'W.' || name AS name FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS name FROM x WHERE regexp_matches(h, '^(?:..)*{regex}')" for name, _, regex in WILDCARDS).join(("WITH x AS (SELECT doc_id, hex(encode(text)) AS h FROM documents) ", ")")))
+def body_automaton(spark, sf_dir):
+    """The same rules in one pass of the automaton."""
+    sigs = rule_set(spark, [parse.body_rule(f"W.{name}:0:*:{p}") for name, p, _ in WILDCARDS])
+    return scan.body_hits(documents(spark, sf_dir), sigs, "doc_id").select("doc_id", "name")
 
 
 @query(
-    """SELECT page_id, starts_with(html, '<!DOCTYPE') AS at_start, substr(html, 16, 5) = '<html' AS at_15, regexp_matches(html[1:40], '(?s)^.{5,20}<html') AS near_start, ends_with(html, '</html>') AS at_end,
-    strpos(right(html, 20), '</body') BETWEEN 1 AND 11 AS near_end FROM pages WHERE strlen(html) = length(html)"""
+    """SELECT page_id, starts_with(h, '3C21444F4354595045') AS at_start, h[31:40] = '3C68746D6C' AS at_15, regexp_matches(h, '^(?:..){5,20}3C68746D6C') AS near_start, ends_with(h, '3C2F68746D6C3E') AS at_end,
+    regexp_matches(right(h, 40), '^(?:..){0,10}3C2F626F6479') AS near_end, regexp_matches(right(h, 40), '^(?:..){0,10}3C2F666F6F746572') AS near_footer FROM (SELECT page_id, hex(encode(html)) AS h FROM pages)"""
 )
 def body_offsets(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").filter(F.octet_length("html") == F.length("html")).select("page_id", F.encode("html", "UTF-8").alias("content"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
     c = F.col("content")
     at = lambda text, offset, name: scan.matches(c, Pattern.parse(hexed(text)), 0, parse_offset(offset)).alias(name)
-    return pages.select("page_id", at("<!DOCTYPE", "0", "at_start"), at("<html", "15", "at_15"), at("<html", "5,15", "near_start"), at("</html>", "EOF-7", "at_end"), at("</body", "EOF-20,10", "near_end"))
+    return pages.select("page_id", at("<!DOCTYPE", "0", "at_start"), at("<html", "15", "at_15"), at("<html", "5,15", "near_start"), at("</html>", "EOF-7", "at_end"), at("</body", "EOF-20,10", "near_end"), at("</footer", "EOF-20,10", "near_footer"))
 
 
 @query("SELECT conv_id, turn, role, CAST((length(text) - length(replace(text, 'tion', ''))) // 4 AS INTEGER) AS n_tion, contains(text, 'that') AS that FROM conversations")
@@ -350,12 +360,11 @@ def conversation_scan(spark, sf_dir):
     return rows.select("conv_id", "turn", "role", scan.hit_count(c, Pattern.parse(hexed("tion"))).alias("n_tion"), scan.matches(c, Pattern.parse(hexed("that"))).alias("that"))
 
 
-@query("SELECT event_id, regexp_matches(props, '\"k\": ?[1-9]') AS digit, starts_with(props, '{\"') AS object FROM events")
+@query("SELECT event_id, regexp_matches(h, '^(?:..)*226B223A(?:..){0,1}3.') AS digit, starts_with(h, '7B22') AS object FROM (SELECT event_id, hex(encode(props)) AS h FROM events)")
 def event_props_scan(spark, sf_dir):
     c = F.encode("props", "UTF-8")
-    key = F.col("props").rlike('"k": ?[1-9]')
-    anchored = scan.matches(c, Pattern.parse("226b223a{-1}3?"))
-    return table(spark, sf_dir, "events").select("event_id", (anchored & key).alias("digit"), scan.matches(c, Pattern.parse("7b22"), 0, parse_offset("0")).alias("object"))
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", scan.matches(c, Pattern.parse("226b223a{-1}3?")).alias("digit"), scan.matches(c, Pattern.parse("7b22"), 0, parse_offset("0")).alias("object"))
 
 
 # --- logical rules -----------------------------------------------------------------------------
