@@ -7,12 +7,15 @@ another's counts the samples that differ and so estimates the similarity. Candid
 pass that estimate (SLACK below the threshold) are confirmed on their full shingle sets.
 
 Inside a bucket not all pairs are made. The member that meets most others over all buckets
-leads; members are compared with the leader, and those that don't link to it get a second
-round with a leader of their own. After that only members that did not link with their
-bucket's first leader can still miss a link: they are compared, sketch against sketch and in
-blocks of BLOCK rows, with all members of their buckets that are in another component, and
-pairs that pass the estimate are confirmed too. So no link that the bands find is lost, and
-a group of copies costs one comparison each.
+leads, and the others are compared with it: estimate first, then full sets. Two members that
+link to the leader share its component. A member u whose sets are near but not enough can
+only link to a member m with more than half of m's difference from the leader in common
+(|u ^ m| = |u ^ L| + |m ^ L| - 2 common), so the elements of those differences are joined, of
+each m the rarest ones that must hold a common one, and what meets is confirmed too. Members
+whose estimate is far from the leader's can't link to what links to it; they go to a second
+round with another leader, and what is still far after that is compared sketch against
+sketch, in blocks of BLOCK rows. So no link that the bands find is lost, and a group of
+copies costs one comparison each.
 
 Defined results: null text, empty text or text without words has an empty set and stands
 alone; fewer words than a shingle count as one shingle; rows with null id get a null
@@ -114,48 +117,74 @@ def _sketch(k: int):
     return sketch
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same > 0 and 100 * same >= percent * (len(x) + len(y) - same)
+
+
+class _Sets:
+    """Shingle sets of the last few texts."""
+
+    def __init__(self, k: int):
+        self.k, self.last = k, {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        if text not in self.last:
+            if len(self.last) >= 64:
+                self.last.clear()
+            raw = (text or "").encode()
+            self.last[text] = shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), self.k)[0]
+        return self.last[text]
+
+
 def _confirm(k: int, percent: int):
     def confirm(batches):
-        last: dict = {}
+        set_of = _Sets(k)
         for batch in batches:
-            keep = []
-            left, right = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
-
-            def set_of(text):
-                if text not in last:
-                    if len(last) >= 64:
-                        last.clear()
-                    raw = (text or "").encode()
-                    last[text] = shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), k)[0]
-                return last[text]
-
-            for a, b in zip(left, right, strict=True):
-                x, y = set_of(a), set_of(b)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same) and same > 0)
+            keep = [_linked(set_of(a), set_of(b), percent) for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
 
 
+def _differ(k: int, percent: int):
+    """linked, and how a member's set differs from its leader's: must (how many of the elements another
+    member that doesn't link to the leader must share at least) and the elements."""
+
+    def differ(batches):
+        set_of = _Sets(k)
+        for batch in batches:
+            linked, must, differences = [], [], []
+            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                member, leader = set_of(a), set_of(b)
+                d = np.setxor1d(member, leader, assume_unique=True)
+                linked.append(_linked(member, leader, percent))
+                must.append(((100 + percent) * len(d) + (100 - percent) * (len(leader) - len(member))) // (2 * (100 + percent)) + 1)
+                differences.append(d.astype(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(d) for d in differences])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*differences, np.empty(0, np.int64)]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(must, pa.int32()), lists], names=["rep", "leader", "linked", "must", "differs"])
+
+    return differ
+
+
 def _compare(limit: int):
-    """Pairs of a block: unlinked members against all, in other components, by sketch."""
+    """Pairs of a block by sketch: members far from their bucket's leaders against all."""
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, comps, first = (table.column(c).to_pylist() for c in ("rep", "comp", "is_u"))
+        ids, first = (table.column(c).to_pylist() for c in ("rep", "is_u"))
         odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
         side = np.array(first, bool)
-        comp = np.unique(np.array(comps), return_inverse=True)[1]
         us, ms = np.flatnonzero(side), np.flatnonzero(~side)
         a, b = [], []
         for u in us:
             different = np.bitwise_count(odd[ms] ^ odd[u]).sum(1)
-            for m in ms[(different <= limit) & (comp[ms] != comp[u])]:
-                a.append(min(ids[u], ids[m]))
-                b.append(max(ids[u], ids[m]))
+            for m in ms[different <= limit]:
+                if ids[m] != ids[u]:
+                    a.append(min(ids[u], ids[m]))
+                    b.append(max(ids[u], ids[m]))
         kind = table.schema.field("rep").type
         return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
@@ -182,60 +211,78 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     score = members.groupBy("rep").agg(F.sum("n").alias("score"))
     involved = scratch.keep(score.join(classes.select("rep", "rep_key", "odd").dropDuplicates(["rep"]), "rep"), "involved")
     wanted = involved.select(F.col("rep").alias("id"), F.col("rep_key").alias("row_key"))
-    texts = scratch.keep(rows.join(wanted, ["id", "row_key"]).dropDuplicates(["id", "row_key"]).select("id", "text"), "texts")
+    texts = scratch.keep(rows.join(wanted.hint("merge"), ["id", "row_key"]).dropDuplicates(["id", "row_key"]).select("id", "text"), "texts")
     limit = most_bits(percent / 100 - SLACK)
 
+    odd = involved.select("rep", "odd")
+
+    def with_odd(pairs: DataFrame) -> DataFrame:
+        """Pairs a, b with different, the bits in which their sketches differ."""
+        near = pairs.join(odd.withColumnsRenamed({"rep": "b", "odd": "odd_b"}), "b").join(odd.withColumnsRenamed({"rep": "a", "odd": "odd_a"}), "a")
+        return near.withColumn("different", _xor_bits("odd_a", "odd_b")).drop("odd_a", "odd_b")
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+        return both.select("a", "b", "text_a", "text_b")
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        b = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-        both = b.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
-        return scratch.keep(both.mapInArrow(_confirm(shingle, percent), f"a {kind}, b {kind}"), name)
+        return scratch.keep(with_texts(pairs).mapInArrow(_confirm(shingle, percent), f"a {kind}, b {kind}"), name)
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     active = members.select("bucket", "rep").join(involved.select("rep", "score"), "rep")
-    edges, loose = None, None
+    edges = []
     for step in range(LEADER_ROUNDS):
         leaders = active.groupBy("bucket").agg(F.max(F.struct("score", "rep")).alias("top"), F.count(F.lit(1)).alias("size")).filter("size > 1")
         led = active.join(leaders.select("bucket", F.col("top.rep").alias("leader")), "bucket").filter("rep <> leader")
-        led = scratch.keep(led, f"led-{step}")
-        pairs = led.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        odd = involved.select("rep", "odd")
-        near = pairs.join(odd.withColumnsRenamed({"rep": "b", "odd": "odd_b"}), "b").join(odd.withColumnsRenamed({"rep": "a", "odd": "odd_a"}), "a")
-        near = near.filter(_xor_bits("odd_a", "odd_b") <= limit).select("a", "b")
-        found = confirmed(near, f"edges-{step}")
-        edges = found if edges is None else edges.union(found)
-        linked = found.select(F.col("a").alias("x"), F.col("b").alias("y")).union(found.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        apart = led.join(linked, (led.rep == linked.x) & (led.leader == linked.y), "left_anti")
-        active = scratch.keep(apart.select("rep", "bucket", "score"), f"apart-{step}")
-        if step == 0:
-            loose = active.select("rep", "bucket")
+        led = scratch.keep(led.select("bucket", "rep", "leader", "score"), f"led-{step}")
+        pairs = scratch.keep(with_odd(led.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()), f"pairs-{step}")
+        near = with_texts(pairs.filter(F.col("different") <= limit).select("a", "b"))
+        near = scratch.keep(near.mapInArrow(_differ(shingle, percent), f"rep {kind}, leader {kind}, linked boolean, must int, differs array<long>"), f"near-{step}")
+        edges.append(near.filter("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+
+        # members near a leader that don't link to it, against the leader's other near members
+        alone = near.filter("not linked").select("leader").distinct()
+        around = near.join(alone, "leader").select("leader", "rep", "linked", "must", F.size("differs").alias("size"), F.explode("differs").alias("e"))
+        shared = around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        around = scratch.keep(around.join(shared, ["leader", "e"]), f"around-{step}")
+        # of the size - must + 1 rarest elements, those that stand nowhere else are gone already
+        rare = around.groupBy("leader", "rep").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"), F.first("size").alias("size"), F.first("must").alias("must"))
+        many = F.col("size") - F.col("must") + 1 - (F.col("size") - F.size("es"))
+        rare = rare.withColumn("es", F.when(many > 0, F.slice("es", 1, F.greatest(many, F.lit(1))))).select("leader", F.col("rep").alias("m"), F.explode("es.e").alias("e"))
+        met = around.filter("not linked").select("leader", "e", F.col("rep").alias("u")).join(rare, ["leader", "e"]).filter("u <> m")
+        met = ordered(met.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        met = with_odd(met).filter(F.col("different") <= limit).select("a", "b")
+        edges.append(confirmed(met, f"met-{step}"))
+
+        # buckets with members far from the leader go on, without what links to it
+        apart = pairs.filter(F.col("different") > limit).select(F.col("a").alias("rep"), F.col("b").alias("leader"), F.lit(True).alias("far"))
+        rest = led.join(near.filter("linked").select("rep", "leader"), ["rep", "leader"], "left_anti").join(apart, ["rep", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
+        on = rest.groupBy("bucket").agg(F.count_if("far").alias("n_u"), F.count(F.lit(1)).alias("n")).filter("n_u > 0 and n > 1")
+        active = scratch.keep(rest.join(on, "bucket").select("bucket", "rep", "score", "far", "n_u", "n"), f"active-{step}")
         if active.isEmpty():
             break
-    part = components(edges, scratch, "star")
-
-    if not loose.isEmpty():
-        # what did not link with its bucket's first leader, against the rest of the bucket in other components
-        comp = lambda t: t.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        sizes = loose.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_u"))
-        around = comp(members.select("bucket", "rep", "n").join(sizes, "bucket").join(involved.select("rep", "odd"), "rep"))
-        around = scratch.keep(around, "around")
-        u = around.join(loose, ["bucket", "rep"], "left_semi")
+    else:
         blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
         pick = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-        ms = around.select("bucket", "rep", "comp", "odd", F.lit(False).alias("is_u"), pick("n").alias("j"), every("n_u").alias("i"))
-        us = u.select("bucket", "rep", "comp", "odd", F.lit(True).alias("is_u"), every("n").alias("j"), pick("n_u").alias("i"))
+        sides = active.join(odd, "rep")
+        ms = sides.select("bucket", "rep", "odd", F.lit(False).alias("is_u"), pick("n").alias("j"), every("n_u").alias("i"))
+        us = sides.filter("far").select("bucket", "rep", "odd", F.lit(True).alias("is_u"), every("n").alias("j"), pick("n_u").alias("i"))
         more = ms.unionByName(us).groupBy("bucket", "i", "j").applyInArrow(_compare(limit), f"a {kind}, b {kind}")
-        more = scratch.keep(more.distinct(), "more")
-        last = confirmed(more, "edges-last")
-        if not last.isEmpty():
-            edges = edges.union(last)
-            part = components(edges, scratch, "all")
+        edges.append(confirmed(more.distinct(), "edges-last"))
+    links = edges[0]
+    for more in edges[1:]:
+        links = links.unionByName(more)
+    part = components(links, scratch, "all")
 
     # an id that stands on rows of different sets joins their components
     own = sketched.select("id", "row_key", "n_shingles", "f1", "f2").join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left")
     own = scratch.keep(own, "own")
     twice = own.filter("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("reps")).filter("a <> z")
     if not twice.isEmpty():
-        part = components(edges.union(twice.select("a", F.explode("reps").alias("b")).filter("a <> b")), scratch, "ids")
+        part = components(links.union(twice.select("a", F.explode("reps").alias("b")).filter("a <> b")), scratch, "ids")
     out = own.join(part.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id")))
     return out.select("id", "row_key", "n_shingles", "component", (F.col("id").eqNullSafe(F.col("component"))).alias("kept"))
