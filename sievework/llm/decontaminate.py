@@ -154,7 +154,7 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """The documents that hold no window of an item, with all their columns."""
     bad = contaminated(docs, items, doc_id, text, **more).filter("contaminated").select(F.col("id").alias("_id"), "row_key")
     kept = docs.withColumn("_key", C.row_key(F.col(doc_id), F.col(text)))
-    return kept.join(bad, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("row_key")), "left_anti").drop("_key")
+    return kept.join(bad.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("row_key")), "left_anti").drop("_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,7 +313,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau:
     # their texts, from the first occurrence
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct().join(first, "line")
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("line", F.col("first.number").alias("number"))).alias("wanted"))
-    texts = rows.select("key", "text").join(wanted, "key").mapInArrow(_cut, "line long, text binary")
+    texts = rows.select("key", "text").join(wanted.hint("merge"), "key").mapInArrow(_cut, "line long, text binary")
     texts = scratch.keep(texts.dropDuplicates(["line"]), "texts")
     both = pairs.join(texts.withColumnsRenamed({"line": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"line": "a", "text": "text_a"}), "a")
     links = scratch.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(tau), "a long, b long"), "links")
@@ -345,7 +345,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -
     """All documents with all their columns, their text without the lines that go (it may become empty)."""
     gone = duplicates(docs, doc_id, text, **more).select(F.col("id").alias("_id"), F.col("row_key").alias("_key"), "removed").dropDuplicates(["_id", "_key"])
     rows = docs.withColumn("_row", C.row_key(F.col(doc_id), F.col(text)))
-    out = rows.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
+    out = rows.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
     out = out.select(*[F.col(f.name).alias("text" if f.name == text else f"c{i}") for i, f in enumerate(docs.schema)], "removed")
     shape = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(out.columns, docs.schema, strict=False))
     names = out.columns[:-1]

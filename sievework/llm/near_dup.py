@@ -301,7 +301,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -
     """One document of each group, the smallest id, with all its columns."""
     kept = group(docs, doc_id, text, **more).filter("kept").select(F.col("id").alias("_id"), F.col("row_key").alias("_key")).distinct()
     rows = docs.withColumn("_row", C.row_key(F.col(doc_id), F.col(text)))
-    out = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
+    out = rows.join(kept.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
     return out.dropDuplicates(["_id", "_key"]).select(docs.columns)
 
 

@@ -146,7 +146,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     verdict = judge(docs, doc_id, text, host, **limits).filter("kept")
     verdict = verdict.select(F.col("id").alias("_id"), F.col("row_key").alias("_key"), "removed").dropDuplicates(["_id", "_key"])
     key = C.row_key(F.col(doc_id), F.col(text))
-    out = docs.withColumn("_row", key).join(verdict, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
+    out = docs.withColumn("_row", key).join(verdict.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
     out = out.select(*[F.col(f.name).alias("text" if f.name == text else f"c{i}") for i, f in enumerate(kinds)], "removed")
     shape = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(out.columns, kinds, strict=False))
     out = out.mapInArrow(_drop_lines, shape)

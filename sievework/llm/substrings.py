@@ -265,7 +265,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     wanted = mixed.groupBy("key").agg(F.collect_list(F.struct("h", "c", "n", "hot", "start", "count")).alias("wanted"))
     # the texts of documents with a repeated anchor, once
     candidates = found.groupBy("key").agg(F.lit(1).alias("one"))
-    texts = scratch.keep(rows.select("key", "text").join(candidates, "key").select("key", "text").dropDuplicates(["key"]), "texts")
+    texts = scratch.keep(rows.select("key", "text").join(candidates.hint("merge"), "key").select("key", "text").dropDuplicates(["key"]), "texts")
     cut = texts.join(wanted, "key").mapInArrow(_cut(window), "h long, c long, n long, hot boolean, words binary")
     cut = scratch.keep(cut, "cut")
     shards = cut.filter("not hot").repartition(C.parts(spark), "h").sortWithinPartitions("h").select("h", "c", "n", "words")
