@@ -7,15 +7,15 @@ another's counts the samples that differ and so estimates the similarity. Candid
 pass that estimate (SLACK below the threshold) are confirmed on their full shingle sets.
 
 Inside a bucket not all pairs are made. The member that meets most others over all buckets
-leads, and the others are compared with it: estimate first, then full sets. Two members that
-link to the leader share its component. A member u whose sets are near but not enough can
-only link to a member m with more than half of m's difference from the leader in common
-(|u ^ m| = |u ^ L| + |m ^ L| - 2 common), so the elements of those differences are joined, of
-each m the rarest ones that must hold a common one, and what meets is confirmed too. Members
-whose estimate is far from the leader's can't link to what links to it; they go to a second
-round with another leader, and what is still far after that is compared sketch against
-sketch, in blocks of BLOCK rows. So no link that the bands find is lost, and a group of
-copies costs one comparison each.
+leads it (of equals the smallest id), and each member is compared with the best leader that
+it meets: estimate first, then full sets. Members that link to the leader share its
+component. A member u that doesn't can only link to another, m, if their differences from
+the leader L have enough in common (|u ^ m| = |u ^ L| + |m ^ L| - 2 common), always more than
+half of m's. So the elements of those differences are joined, of each m the rarest ones
+that must hold a common one; pairs that can't have enough in common are dropped, and the
+rest is confirmed. That settles buckets whose members share one leader; in the others all
+members are compared with the bucket's own leader in the same way. So no link that the
+bands find is lost, and a group of copies costs one comparison each.
 
 Defined results: null text, empty text or text without words has an empty set and stands
 alone; fewer words than a shingle count as one shingle; rows with null id get a null
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-BANDS, ROWS, BITS, SLACK, BLOCK, LEADER_ROUNDS = 25, 4, 512, 0.16, 2000, 2
+BANDS, ROWS, BITS, SLACK = 25, 4, 512, 0.16
 SAMPLES = BANDS * ROWS
 SHINGLE, PERCENT = 5, 80
 _A, _B, _C = C.seeded(SAMPLES, 11) | C.U(1), C.seeded(SAMPLES, 12), C.seeded(ROWS, 13) | C.U(1)
@@ -149,48 +149,29 @@ def _confirm(k: int, percent: int):
     return confirm
 
 
-def _differ(k: int, percent: int):
-    """linked, and how a member's set differs from its leader's: must (how many of the elements another
-    member that doesn't link to the leader must share at least) and the elements."""
+def _differ(k: int, percent: int, limit: int):
+    """linked; size of the member's set; how it differs from its leader's; and must: how many of those
+    elements another member that doesn't link to the leader must share at least to link to this one."""
 
     def differ(batches):
         set_of = _Sets(k)
         for batch in batches:
-            linked, must, differences = [], [], []
-            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+            linked, sizes, must, differences = [], [], [], []
+            for a, b, bits in zip(*(batch.column(c).to_pylist() for c in ("text_a", "text_b", "different")), strict=True):
                 member, leader = set_of(a), set_of(b)
                 d = np.setxor1d(member, leader, assume_unique=True)
-                linked.append(_linked(member, leader, percent))
+                linked.append(bits <= limit and _linked(member, leader, percent))
+                sizes.append(len(member))
                 must.append(((100 + percent) * len(d) + (100 - percent) * (len(leader) - len(member))) // (2 * (100 + percent)) + 1)
                 differences.append(d.astype(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(d) for d in differences])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*differences, np.empty(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(must, pa.int32()), lists], names=["rep", "leader", "linked", "must", "differs"])
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(must, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "leader", "linked", "n", "must", "differs"])
 
     return differ
 
 
-def _compare(limit: int):
-    """Pairs of a block by sketch: members far from their bucket's leaders against all."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, first = (table.column(c).to_pylist() for c in ("rep", "is_u"))
-        odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
-        side = np.array(first, bool)
-        us, ms = np.flatnonzero(side), np.flatnonzero(~side)
-        a, b = [], []
-        for u in us:
-            different = np.bitwise_count(odd[ms] ^ odd[u]).sum(1)
-            for m in ms[different <= limit]:
-                if ids[m] != ids[u]:
-                    a.append(min(ids[u], ids[m]))
-                    b.append(max(ids[u], ids[m]))
-        kind = table.schema.field("rep").type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
-
-    return compare
-
-
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, row_key, n_shingles, component, kept; a row for each row. Links at 100 * common >= percent * union."""
     spark = docs.sparkSession
@@ -221,57 +202,42 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         near = pairs.join(odd.withColumnsRenamed({"rep": "b", "odd": "odd_b"}), "b").join(odd.withColumnsRenamed({"rep": "a", "odd": "odd_a"}), "a")
         return near.withColumn("different", _xor_bits("odd_a", "odd_b")).drop("odd_a", "odd_b")
 
-    def with_texts(pairs: DataFrame) -> DataFrame:
+    def with_texts(pairs: DataFrame, *more: str) -> DataFrame:
         both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-        return both.select("a", "b", "text_a", "text_b")
+        return both.select("a", "b", "text_a", "text_b", *more)
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        return scratch.keep(with_texts(pairs).mapInArrow(_confirm(shingle, percent), f"a {kind}, b {kind}"), name)
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    active = members.select("bucket", "rep").join(involved.select("rep", "score"), "rep")
     edges = []
-    for step in range(LEADER_ROUNDS):
-        leaders = active.groupBy("bucket").agg(F.max(F.struct("score", "rep")).alias("top"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-        led = active.join(leaders.select("bucket", F.col("top.rep").alias("leader")), "bucket").filter("rep <> leader")
-        led = scratch.keep(led.select("bucket", "rep", "leader", "score"), f"led-{step}")
-        pairs = scratch.keep(with_odd(led.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()), f"pairs-{step}")
-        near = with_texts(pairs.filter(F.col("different") <= limit).select("a", "b"))
-        near = scratch.keep(near.mapInArrow(_differ(shingle, percent), f"rep {kind}, leader {kind}, linked boolean, must int, differs array<long>"), f"near-{step}")
-        edges.append(near.filter("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-
-        # members near a leader that don't link to it, against the leader's other near members
-        alone = near.filter("not linked").select("leader").distinct()
-        around = near.join(alone, "leader").select("leader", "rep", "linked", "must", F.size("differs").alias("size"), F.explode("differs").alias("e"))
-        shared = around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        around = scratch.keep(around.join(shared, ["leader", "e"]), f"around-{step}")
-        # of the size - must + 1 rarest elements, those that stand nowhere else are gone already
-        rare = around.groupBy("leader", "rep").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"), F.first("size").alias("size"), F.first("must").alias("must"))
-        many = F.col("size") - F.col("must") + 1 - (F.col("size") - F.size("es"))
-        rare = rare.withColumn("es", F.when(many > 0, F.slice("es", 1, F.greatest(many, F.lit(1))))).select("leader", F.col("rep").alias("m"), F.explode("es.e").alias("e"))
-        met = around.filter("not linked").select("leader", "e", F.col("rep").alias("u")).join(rare, ["leader", "e"]).filter("u <> m")
-        met = ordered(met.select(F.col("u").alias("a"), F.col("m").alias("b")))
+
+    def examined(led: DataFrame, step: int) -> None:
+        """Compares rows of rep and leader, and what doesn't link with the others of its leader."""
+        pairs = with_texts(with_odd(led.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()), "different")
+        pairs = scratch.keep(pairs.mapInArrow(_differ(shingle, percent, limit), f"rep {kind}, leader {kind}, linked boolean, n int, must int, differs array<long>"), f"pairs-{step}")
+        edges.append(pairs.filter("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+
+        alone = pairs.filter("not linked").select("leader").distinct()
+        around = pairs.join(alone, "leader").select("leader", "rep", "linked", "n", "must", F.size("differs").alias("x"), F.explode("differs").alias("e"))
+        shared = around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+        around = around.join(shared, ["leader", "e"]).groupBy("leader", "rep").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"), *[F.first(c).alias(c) for c in ("linked", "n", "must", "x")])
+        around = scratch.keep(around.withColumn("k", F.size("es")), f"around-{step}")
+        # of the x - must + 1 rarest elements, those that stand nowhere else are gone already
+        u = around.filter("not linked").select("leader", F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("x").alias("x_u"), F.col("k").alias("k_u"), F.explode("es.e").alias("e"))
+        m = around.filter("k >= must").select("leader", F.col("rep").alias("m"), "n", "x", "k", F.explode(F.slice("es", 1, F.col("k") - F.col("must") + 1)).alias("e")).withColumn("e", F.col("e.e"))
+        enough = F.least("k", "k_u") * (2 * (100 + percent)) >= (F.col("x") + F.col("x_u")) * (100 + percent) - (F.col("n") + F.col("n_u")) * (100 - percent)
+        met = u.join(m, (u.leader == m.leader) & (u.e == m.e) & (F.col("u") != F.col("m")) & enough)
+        met = met.select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct()
         met = with_odd(met).filter(F.col("different") <= limit).select("a", "b")
-        edges.append(confirmed(met, f"met-{step}"))
-
-        # buckets with members far from the leader go on, without what links to it
-        apart = pairs.filter(F.col("different") > limit).select(F.col("a").alias("rep"), F.col("b").alias("leader"), F.lit(True).alias("far"))
-        rest = led.join(near.filter("linked").select("rep", "leader"), ["rep", "leader"], "left_anti").join(apart, ["rep", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
-        on = rest.groupBy("bucket").agg(F.count_if("far").alias("n_u"), F.count(F.lit(1)).alias("n")).filter("n_u > 0 and n > 1")
-        active = scratch.keep(rest.join(on, "bucket").select("bucket", "rep", "score", "far", "n_u", "n"), f"active-{step}")
-        if active.isEmpty():
-            break
-    else:
-        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-        pick = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-        sides = active.join(odd, "rep")
-        ms = sides.select("bucket", "rep", "odd", F.lit(False).alias("is_u"), pick("n").alias("j"), every("n_u").alias("i"))
-        us = sides.filter("far").select("bucket", "rep", "odd", F.lit(True).alias("is_u"), every("n").alias("j"), pick("n_u").alias("i"))
-        more = ms.unionByName(us).groupBy("bucket", "i", "j").applyInArrow(_compare(limit), f"a {kind}, b {kind}")
-        edges.append(confirmed(more.distinct(), "edges-last"))
+        edges.append(scratch.keep(with_texts(met).mapInArrow(_confirm(shingle, percent), f"a {kind}, b {kind}"), f"met-{step}"))
+
+    # the best leader that a member meets in any bucket; it settles buckets whose members have no other
+    own = members.select("bucket", "rep").join(involved.select("rep", (-F.col("score")).alias("rank")), "rep")
+    tops = own.groupBy("bucket").agg(F.min(F.struct("rank", "rep")).alias("top"))
+    homes = own.join(tops, "bucket").groupBy("rep").agg(F.min("top").alias("top")).select("rep", F.col("top.rep").alias("leader"))
+    homes = scratch.keep(homes, "homes")
+    examined(homes.filter("rep <> leader"), 0)
+    mixed = own.join(homes, "rep").groupBy("bucket").agg(F.min("leader").alias("x"), F.max("leader").alias("y")).filter("x <> y").select("bucket")
+    led = own.join(mixed, "bucket").join(tops.select("bucket", F.col("top.rep").alias("leader")), "bucket").filter("rep <> leader").select("rep", "leader").distinct()
+    led = led.join(homes, ["rep", "leader"], "left_anti")
+    examined(led.union(homes.join(led.select("leader").distinct(), "leader").filter("rep <> leader").select("rep", "leader")), 1)
     links = edges[0]
     for more in edges[1:]:
         links = links.unionByName(more)
