@@ -4,8 +4,9 @@ Texts are cut by the tokenizer's pattern; the distinct pieces of a run of docume
 bucketed by byte length into padded numpy matrices of token ids. Each round looks up all
 neighbouring pairs in an open-addressing hash table, every row merges its leftmost pair of
 least rank, and rows are compacted; rows without a pair leave. Encoded pieces are kept in a
-worker's table, emptied at CACHE_PIECES, so that memory is bounded; very long pieces are
-not kept. Decoding gathers the bytes of ids from one flat table.
+worker's table, emptied when it holds CACHE_PIECES pieces or CACHE_IDS ids, so that memory is
+bounded. Ids of a run of documents, their decimals and their bytes are gathered from flat
+tables.
 
 Defined results: null text is empty and has no tokens; lone invalid ids raise on decoding;
 repeated rows each get their row; empty tables work; extra columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CACHE_PIECES, CACHE_BYTES = 200_000, 256
+CACHE_PIECES, CACHE_IDS = 300_000, 4 << 20
+#: Pieces of more bytes are merged one by one with a heap.
+LONG = 2048
 #: Cells of a padded matrix at once; a bucket of more is cut into blocks.
 CELLS = 1 << 20
 PAD = -1
@@ -45,6 +49,10 @@ class Codec:
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+        decimals = [b"%d " % i for i in range(size)]
+        self.decimal_blob = np.frombuffer(b"".join(decimals), np.uint8)
+        self.decimal_lengths = np.array([len(d) for d in decimals], np.int64)
+        self.decimal_offsets = np.concatenate([[0], np.cumsum(self.decimal_lengths)])
         self.byte = np.array([ranks.get(bytes([b]), PAD) for b in range(256)], np.int32)
         self.ranks = ranks
         # every way of cutting a token into two tokens is a pair that may merge; its rank is the token's
@@ -68,7 +76,13 @@ class Codec:
             self.values[slot[placed]] = rank[placed]
             todo, rank, step = todo[~placed], rank[~placed], step + 1
         self.steps = step
-        self.cache: dict[str, tuple[int, bytes, np.ndarray]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of encoded pieces: slot of each piece, and ids of each slot."""
+        self.slots: dict[str, int] = {}
+        self.flat = np.empty(0, np.int32)
+        self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _slot(self, pairs: np.ndarray, step: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -90,10 +104,10 @@ class Codec:
                 break
         return out
 
-    def merge(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Ids of each row of a padded matrix of one-byte ids."""
+    def merge(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged ids of each row of a padded matrix of one-byte ids, padded, and their number."""
         n, width = ids.shape
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * n
+        out, counts = np.full((n, width), PAD, np.int32), np.zeros(n, np.int64)
         rows, none = np.arange(n), np.iinfo(np.int32).max
         lengths = (ids != PAD).sum(1)
         ranks = self.rank_of(ids[:, :-1], ids[:, 1:])
@@ -101,8 +115,8 @@ class Codec:
             at = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
             best = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), none)
             done = best == none
-            for i in np.flatnonzero(done):
-                out[rows[i]] = ids[i, : lengths[i]].copy()
+            out[rows[done], : ids.shape[1]] = ids[done]
+            counts[rows[done]] = lengths[done]
             go = ~done
             if not go.any():
                 break
@@ -123,7 +137,7 @@ class Codec:
                     p = at + side
                     ok = (p >= 0) & (p < lengths - 1)
                     ranks[r[ok], p[ok]] = self.rank_of(ids[r[ok], p[ok]], ids[r[ok], p[ok] + 1])
-        return out
+        return out, counts
 
     def long_piece(self, piece: bytes) -> np.ndarray:
         """One very long piece: the same merges with a heap, O(n log n) instead of a wide matrix."""
@@ -155,52 +169,70 @@ class Codec:
                     heapq.heappush(heap, (r, k))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def pieces(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces: those that are tokens directly, the rest by merging in length buckets."""
-        out: list = [None] * len(texts)
-        buckets: dict[int, list[int]] = {}
-        for i, t in enumerate(texts):
-            rank = self.ranks.get(t)
-            if rank is not None:
-                out[i] = np.array([rank], np.int32)
-            elif len(t) > 2048:
-                out[i] = self.long_piece(t)
-            else:
-                buckets.setdefault((len(t) + 3) // 4 * 4, []).append(i)
-        for width, own in buckets.items():
-            block = max(1, CELLS // width)
+    def pieces(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and the number of each: tokens directly, the rest by
+        merging in length buckets."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        at = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        whole = np.fromiter((self.ranks.get(t, PAD) for t in raw), np.int32, len(raw))
+        found = [(np.flatnonzero(whole != PAD), whole[whole != PAD], None)]
+        bucket = np.where(whole != PAD, 0, np.where(size > LONG, -1, (size + 3) // 4 * 4))
+        for i in np.flatnonzero(bucket == -1):
+            ids = self.long_piece(raw[i])
+            found.append((np.array([i]), ids, np.array([len(ids)])))
+        for width in np.unique(bucket[bucket > 0]):
+            own = np.flatnonzero(bucket == width)
+            block = max(1, CELLS // int(width))
             for a in range(0, len(own), block):
                 part = own[a : a + block]
-                matrix = np.full((len(part), width), PAD, np.int32)
-                for j, i in enumerate(part):
-                    matrix[j, : len(texts[i])] = self.byte[np.frombuffer(texts[i], np.uint8)]
-                for i, ids in zip(part, self.merge(matrix), strict=True):
-                    out[i] = ids
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[tuple[int, bytes, np.ndarray]]]:
-        """For each text its pieces as (number of ids, ids in decimal, ids)."""
+                place = np.arange(width)
+                inside = place < size[part][:, None]
+                matrix = np.where(inside, self.byte[data[np.minimum(at[part][:, None] + place, len(data) - 1)]], PAD)
+                ids, n = self.merge(matrix)
+                found.append((part, ids[place < n[:, None]], n))
+        counts = np.zeros(len(raw), np.int64)
+        for own, ids, n in found:
+            counts[own] = 1 if n is None else n
+        out, ends = np.empty(int(counts.sum()), np.int32), np.cumsum(counts)
+        for own, ids, _ in found:
+            out[_ranges(ends[own] - counts[own], counts[own])] = ids
+        return out, counts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and first: text i has first[i]:first[i + 1]."""
         cut = [self.split(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cache, extra = self.cache, {}
-        new = list(set().union(*cut).difference(cache)) if cut else []
-        raw = [p.encode() for p in new]
-        for piece, b, ids in zip(new, raw, self.pieces(raw), strict=True):
-            (cache if len(b) <= CACHE_BYTES else extra)[piece] = (len(ids), b" ".join(b"%d" % x for x in ids.tolist()), ids)
-        if extra:
-            cache = {**cache, **extra}
-        return [[cache[p] for p in pieces] for pieces in cut]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, gathered from the flat table of tokens."""
-        if not len(ids):
-            return b""
-        if ids.min() < 0 or ids.max() >= len(self.lengths) or not self.known[ids].all():
+        if len(self.slots) > CACHE_PIECES or len(self.flat) > CACHE_IDS:
+            self.forget()
+        new = list(set().union(*cut).difference(self.slots)) if cut else []
+        if new:
+            ids, counts = self.pieces([p.encode() for p in new])
+            self.slots.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+            self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, ids])
+        n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(cut)), np.int64, int(n_pieces.sum()))
+        counts = self.counts[slots]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return self.flat[_ranges(self.starts[slots], counts)], total[np.concatenate([[0], np.cumsum(n_pieces)])]
+
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of ids, gathered from the flat table of tokens, and where each id's bytes end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.known[ids].all()):
             raise ValueError("an id is not in the vocabulary")
         n = self.lengths[ids]
-        ends = np.cumsum(n)
-        return self.blob[np.repeat(self.offsets[ids] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        return self.blob[_ranges(self.offsets[ids], n)].tobytes(), np.cumsum(n)
+
+    def decimals(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Decimal ids, a space after each, and where each ends."""
+        n = self.decimal_lengths[ids]
+        return self.decimal_blob[_ranges(self.decimal_offsets[ids], n)].tobytes(), np.cumsum(n)
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -216,23 +248,19 @@ def _encode(path: str, pattern: str, with_ids: bool):
         for batch in batches:
             for row, end, data, at in C.chunks(batch.column("text"), 1 << 20):
                 raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
-                n, ids_hash, decoded_hash, ids_out, whole = [], [], [], [], []
-                for text, pieces in zip(texts, c.encode(texts), strict=True):
-                    ids = np.concatenate([p[2] for p in pieces]) if pieces else np.empty(0, np.int32)
-                    back = c.decode(ids)
-                    n.append(len(ids))
-                    ids_hash.append(hashlib.sha256(b" ".join([p[1] for p in pieces])).hexdigest())
-                    decoded_hash.append(hashlib.sha256(back).hexdigest())
-                    whole.append(back == text.encode())
-                    ids_out.append(ids)
+                ids, first = c.encode([raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)])
+                back, ends = c.decode(ids)
+                text, stops = c.decimals(ids)
+                ends, stops = np.concatenate([[0], ends])[first].tolist(), np.concatenate([[0], stops])[first].tolist()
+                ids_hash = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(stops[:-1], stops[1:], strict=True)]
+                decoded_hash = [hashlib.sha256(back[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                whole = [back[a:b] == raw[i:j] for a, b, i, j in zip(ends[:-1], ends[1:], at[:-1], at[1:], strict=True)]
                 names = [x for x in batch.schema.names if x != "text"]
                 cols = [batch.column(x).slice(row, end - row) for x in names]
-                cols += [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string()), pa.array(whole, pa.bool_())]
+                cols += [pa.array(np.diff(first), pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string()), pa.array(whole, pa.bool_())]
                 names += ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
                 if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids_out])]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids_out, np.empty(0, np.int32)]), pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -261,7 +289,7 @@ def _decode(path: str, pattern: str):
     def decode(batches):
         c = codec(path, pattern)
         for batch in batches:
-            texts = [None if x is None else c.decode(np.array(x, np.int64)) for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else c.decode(np.array(x, np.int64))[0] for x in batch.column("ids").to_pylist()]
             names = [n for n in batch.schema.names if n != "ids"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(texts, pa.binary())], names=[*names, "bytes"])
 
