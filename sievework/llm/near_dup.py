@@ -18,9 +18,10 @@ members are compared with the bucket's own leader in the same way. So no link th
 bands find is lost, and a group of copies costs one comparison each.
 
 Defined results: null text, empty text or text without words has an empty set and stands
-alone; fewer words than a shingle count as one shingle; rows with null id get a null
-component and are kept; rows repeated under one id get the same component; an empty table
-gives none; extra columns are ignored.
+alone; fewer words than a shingle count as one shingle; a row with null id takes the
+component of an equal set that has an id and is not kept, else its component is null and it
+is kept; rows repeated under one id get the same component; an empty table gives none;
+extra columns are ignored.
 
 With 25 bands of 4 rows a pair at similarity 0.85 is missed with probability 1e-8, at 0.8
 with 2e-6; the estimate drops a pair at the threshold with probability below 1e-4.
