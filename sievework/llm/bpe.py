@@ -246,7 +246,7 @@ def _encode(path: str, pattern: str, with_ids: bool):
     def encode(batches):
         c = codec(path, pattern)
         for batch in batches:
-            for row, end, data, at in C.chunks(batch.column("text"), 1 << 20):
+            for row, end, data, at in C.chunks(batch.column("text")):
                 raw = data.tobytes()
                 ids, first = c.encode([raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)])
                 back, ends = c.decode(ids)
@@ -275,6 +275,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
     """keep columns, n_tokens, ids_sha256, decoded_sha256, round_trip, ids array<int> (with_ids)."""
+    C.bounded(docs)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     given = default_vocabulary()
     path, pattern = str(path or given[0]), pattern or given[1]
@@ -299,6 +300,7 @@ def _decode(path: str, pattern: str):
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """All other columns and the decoded bytes; null ids give null."""
     given = default_vocabulary()
+    C.bounded(rows)
     keep = [c for c in rows.columns if c != ids]
     cut = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(ids).alias("ids"))
     shape = "".join(f"c{i} {cut.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(keep))) + "bytes binary"

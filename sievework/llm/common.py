@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch, for texts; taken only where the session has no setting of its own.
+BATCH_ROWS = 512
 
 U = np.uint64
 
@@ -58,6 +60,14 @@ class Scratch:
             self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
 
+def bounded(df: DataFrame) -> SparkSession:
+    """The session, with Arrow batches that are small enough for long texts."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -94,6 +104,13 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
+def small(batches, rows: int = 256):
+    """The batches in slices, so that Python copies of their texts stay few."""
+    for batch in batches:
+        for i in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(i, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     with np.errstate(over="ignore"):
@@ -110,7 +127,7 @@ def seeded(n: int, seed: int) -> np.ndarray:
 
 P = U(0x9E3779B97F4A7C15 | 1)
 P_INV = U(pow(int(P), -1, 1 << 64))
-SLAB = 1 << 20
+SLAB = 1 << 17
 _powers: dict[str, np.ndarray] = {}
 
 

@@ -87,7 +87,7 @@ def _probe(index_of):
     def probe(batches):
         index = index_of.value
         keys = index.keys()
-        for batch in batches:
+        for batch in C.small(batches):
             n_words, starts, ends, items = [], [], [], []
             for text in _texts(batch, "text"):
                 doc = words(text.as_py() or b"")
@@ -121,7 +121,7 @@ def _covered(batches):
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
     """id, row_key, n_words, n_hit, items array<string>, items_sha256, contaminated; a row for each row."""
-    spark = docs.sparkSession
+    spark = C.bounded(docs)
     sc = spark.sparkContext
     rows = docs.select(F.col(doc_id).alias("id"), C.row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.col(text).cast("string").alias("text"))
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))

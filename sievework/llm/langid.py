@@ -176,7 +176,7 @@ class _Bytes:
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> dict:
     """A model of rows with text and lang; `order` only spreads the sample."""
-    spark = rows.sparkSession
+    spark = C.bounded(rows)
     rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(order).cast("string"), F.lit("langid")).alias("order"))
     rows = rows.filter("lang is not null and lang <> 'und' and text is not null and length(text) > 0")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
@@ -202,7 +202,7 @@ def predict(rows: DataFrame, model: dict, text: str = "text", keep: list[str] |
     keep = [c for c in rows.columns if c != text] if keep is None else keep
     cut = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
     shape = "".join(f"c{i} {cut.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(keep))) + "lang_pred string, score double"
-    out = cut.mapInArrow(_predict(rows.sparkSession.sparkContext.broadcast(model)), shape)
+    out = cut.mapInArrow(_predict(C.bounded(rows).sparkContext.broadcast(model)), shape)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
 
 

@@ -33,7 +33,7 @@ from . import common as C
 TAU, MIN_BYTES, BLOCK, CLASSES = 2, 16, 2048, 16
 _ENTRY = np.dtype([("sig", "V5"), ("line", "<u8")])
 #: Byte classes of the count filter, by a fixed hash of the byte.
-_CLASS = (C.seeded(256, 41) % C.U(CLASSES)).astype(np.int64)
+_CLASS = (C.seeded(256, 41) % C.U(CLASSES)).astype(np.int8)
 
 
 def spans(w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,12 +97,10 @@ def _scan(tau: int, min_bytes: int):
                 n_lines = np.bincount(doc, minlength=w.n)
                 empty = np.diff(at) == 0
                 start, end, doc, number = (x[long] for x in (start, end, doc, number))
-                total = np.zeros((CLASSES, len(data) + 1), np.int32)
-                kind = _CLASS[data]
+                bag, kind, total = np.zeros(len(start), C.U), _CLASS[data], np.zeros(len(data) + 1, np.int32)
                 for c in range(CLASSES):
-                    np.cumsum(kind == c, out=total[c, 1:])
-                counts = (total[:, end] - total[:, start]) & 15
-                bag = (counts.astype(C.U) << (C.U(4) * np.arange(CLASSES, dtype=C.U))[:, None]).sum(0, dtype=C.U)
+                    np.cumsum(kind == c, out=total[1:])
+                    bag |= ((total[end] - total[start]) & 15).astype(C.U) << C.U(4 * c)
                 offsets = np.zeros(w.n + 1, np.int32)
                 np.cumsum(np.bincount(doc, minlength=w.n), out=offsets[1:])
                 lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, kind))
@@ -126,7 +124,7 @@ def _pack(tau: int, min_bytes: int, parts: int):
 
     def pack(batches):
         for batch in batches:
-            for _, _, data, at in C.chunks(batch.column("text"), 2 * C.CHUNK_BYTES):
+            for _, _, data, at in C.chunks(batch.column("text")):
                 w = C.Words(data, at)
                 start, end, _, _ = spans(w)
                 long = end - start >= min_bytes
@@ -264,7 +262,7 @@ def within(a: bytes, b: bytes, tau: int) -> bool:
 
 def _verify(tau: int):
     def verify(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             keep = [within(x, y, tau) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -272,7 +270,7 @@ def _verify(tau: int):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in C.small(batches):
         lines, texts = [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             own = text.split("\n")
@@ -286,7 +284,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau:
     """id, row_key, n_lines, removed (numbers of the lines that go, from 0); a row for each row."""
     if min_bytes <= 2 * tau:
         raise ValueError("min_bytes must exceed 2 * tau")
-    spark = docs.sparkSession
+    spark = C.bounded(docs)
     scratch = C.Scratch(spark, "lines")
     rows = docs.select(F.col(doc_id).alias("id"), C.row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -330,7 +328,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau:
 
 
 def _rebuild(batches):
-    for batch in batches:
+    for batch in C.small(batches):
         texts = []
         for text, gone in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
             if text is not None and gone:

@@ -143,7 +143,7 @@ class _Sets:
 def _confirm(k: int, percent: int):
     def confirm(batches):
         set_of = _Sets(k)
-        for batch in batches:
+        for batch in C.small(batches):
             keep = [_linked(set_of(a), set_of(b), percent) for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -156,7 +156,7 @@ def _differ(k: int, percent: int, limit: int):
 
     def differ(batches):
         set_of = _Sets(k)
-        for batch in batches:
+        for batch in C.small(batches):
             linked, sizes, must, differences = [], [], [], []
             for a, b, bits in zip(*(batch.column(c).to_pylist() for c in ("text_a", "text_b", "different")), strict=True):
                 member, leader = set_of(a), set_of(b)
@@ -175,7 +175,7 @@ def _differ(k: int, percent: int, limit: int):
 
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, row_key, n_shingles, component, kept; a row for each row. Links at 100 * common >= percent * union."""
-    spark = docs.sparkSession
+    spark = C.bounded(docs)
     scratch = C.Scratch(spark, "near-dup")
     rows = docs.select(F.col(doc_id).alias("id"), C.row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -86,7 +86,7 @@ def judge(
     max_repeat: int = MAX_REPEAT,
 ) -> DataFrame:
     """id, row_key, host, counts, base_failed, n_left, removed (positions of lines with a word), kept; a row for each row."""
-    spark = docs.sparkSession
+    spark = C.bounded(docs)
     scratch = C.Scratch(spark, "quality")
     rows = docs.select(
         F.col(doc_id).alias("id"),
@@ -121,7 +121,7 @@ def judge(
 
 
 def _drop_lines(batches):
-    for batch in batches:
+    for batch in C.small(batches):
         gone, texts = batch.column("removed").to_pylist(), batch.column("text").to_pylist()
         out = []
         for drop, text in zip(gone, texts, strict=True):

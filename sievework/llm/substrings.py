@@ -199,7 +199,7 @@ def _cut(window: int):
     """The words of the wanted pieces of each document."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             rows: list[tuple] = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 words = text.encode().split()
@@ -226,7 +226,7 @@ def _window_hashes(window: int):
 
 
 def _remove(batches):
-    for batch in batches:
+    for batch in C.small(batches):
         removed, digest, kept = [], [], []
         for text, starts, ends in zip(*(batch.column(k).to_pylist() for k in ("text", "starts", "ends")), strict=True):
             words = (text or "").encode().split()
@@ -243,7 +243,7 @@ def _remove(batches):
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, with_text: bool = True) -> DataFrame:
     """id, row_key, n_words, n_removed, kept_sha256, kept_text (with_text; null where nothing was removed)."""
-    spark = docs.sparkSession
+    spark = C.bounded(docs)
     scratch = C.Scratch(spark, "substrings")
     rows = docs.select(F.col(doc_id).alias("id"), C.row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -138,6 +138,7 @@ def count(docs: DataFrame, text: str = "text", keep: list[str] | None = None, pa
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
+    C.bounded(docs)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
     shape = "".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(keep)))
