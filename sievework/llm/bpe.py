@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CACHE_PIECES, CACHE_IDS = 300_000, 4 << 20
+CACHE_PIECES, CACHE_IDS = 100_000, 1 << 20
 #: Pieces of more bytes are merged one by one with a heap.
 LONG = 2048
 #: Cells of a padded matrix at once; a bucket of more is cut into blocks.

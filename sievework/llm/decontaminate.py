@@ -83,8 +83,14 @@ def find(doc: list[bytes], index) -> tuple[list[tuple[int, int]], set]:
     return spans, items
 
 
-def _probe(index_of):
+def _probe(index_of, whole: bool):
+    """Spans and items of each row, or with `whole` (the index holds all items) their sums."""
+
     def probe(batches):
+        found = _found(batches)
+        yield from _covered(found) if whole else found
+
+    def _found(batches):
         index = index_of.value
         keys = index.keys()
         for batch in C.small(batches):
@@ -139,15 +145,17 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         frequency = {bytes(r.word): r.n for r in counts.toLocalIterator()} if own else {}
         index = sc.broadcast(rarest_first(own, frequency))
         kind = rows.schema["id"].dataType.simpleString()
+        sums = f"id {kind}, row_key long, n_words long, items array<string>, n_hit long, items_sha256 string"
+        if blocks == 1:
+            return rows.mapInArrow(_probe(index, True), sums).withColumn("contaminated", F.col("n_hit") > 0)
         shape = f"id {kind}, row_key long, n_words long, starts array<int>, ends array<int>, items array<string>"
-        hits = rows.mapInArrow(_probe(index), shape)
+        hits = rows.mapInArrow(_probe(index, False), shape)
         found = hits if found is None else found.unionByName(hits)
-    if blocks > 1:  # each block saw every row: merge; repeated rows were multiplied alike
-        sums = found.groupBy("id", "row_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        sums = sums.withColumnsRenamed({"id": "_id", "row_key": "_key"})
-        found = rows.select("id", "row_key").join(sums, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))).drop("_id", "_key")
-    shape = f"id {rows.schema['id'].dataType.simpleString()}, row_key long, n_words long, items array<string>, n_hit long, items_sha256 string"
-    return found.mapInArrow(_covered, shape).withColumn("contaminated", F.col("n_hit") > 0)
+    # each block saw every row: merge; repeated rows were multiplied alike
+    merged = found.groupBy("id", "row_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = merged.withColumnsRenamed({"id": "_id", "row_key": "_key"})
+    found = rows.select("id", "row_key").join(merged, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))).drop("_id", "_key")
+    return found.mapInArrow(_covered, sums).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MARK = "▁"
-CACHE_WORDS, CACHE_CHARS = 500_000, 128
+CACHE_WORDS, CACHE_CHARS = 200_000, 128
 _loaded: dict[tuple[str, str], LongestMatch] = {}
 
 
