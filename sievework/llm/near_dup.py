@@ -11,7 +11,8 @@ leads it (of equals the smallest id), and each member is compared with the best
 it meets: estimate first, then full sets. Members that link to the leader share its
 component. A member u that doesn't can only link to another, m, if their differences from
 the leader L have enough in common (|u ^ m| = |u ^ L| + |m ^ L| - 2 common), always more than
-half of m's. So the elements of those differences are joined, of each m the rarest ones
+half of m's. So each group that has such a member moves to the member nearest to what most of
+the group has, and the elements of the differences from that leader are joined, of each m the rarest ones
 that must hold a common one; pairs that can't have enough in common are dropped, and the
 rest is confirmed. That settles buckets whose members share one leader; in the others all
 members are compared with the bucket's own leader in the same way. So no link that the
@@ -209,11 +210,35 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
     edges = []
 
-    def examined(led: DataFrame, step: int) -> None:
-        """Compares rows of rep and leader, and what doesn't link with the others of its leader."""
+    def compared(led: DataFrame, name: str) -> DataFrame:
+        """Rows of rep and leader with their differences; links become edges."""
         pairs = with_texts(with_odd(led.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()), "different")
-        pairs = scratch.keep(pairs.mapInArrow(_differ(shingle, percent, limit), f"rep {kind}, leader {kind}, linked boolean, n int, must int, differs array<long>"), f"pairs-{step}")
+        pairs = scratch.keep(pairs.mapInArrow(_differ(shingle, percent, limit), f"rep {kind}, leader {kind}, linked boolean, n int, must int, differs array<long>"), name)
         edges.append(pairs.filter("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+        return pairs
+
+    def central(pairs: DataFrame, step: int) -> DataFrame:
+        """Groups with members that don't link, under the member nearest to what most of the group has.
+
+        What more than half of the members differ by from their leader is the leader's own oddity; the
+        member whose differences are nearest to it takes over, so that the shared oddity is small."""
+        pairs = pairs.join(pairs.filter("not linked").select("leader").distinct(), "leader")
+        around = pairs.select("leader", "rep", F.explode("differs").alias("e"))
+        sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+        odd_ones = around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("times")).join(sizes.filter("size > 2"), "leader").filter("times * 2 > size")
+        odd_ones = scratch.keep(odd_ones.select("leader", "e"), f"odd-{step}")
+        hits = around.join(odd_ones, ["leader", "e"]).groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("hits"))
+        own = odd_ones.groupBy("leader").agg(F.count(F.lit(1)).alias("c"))
+        near = pairs.select("leader", "rep", F.size("differs").alias("x")).join(own, "leader").join(hits, ["leader", "rep"], "left")
+        best = near.groupBy("leader").agg(F.min(F.struct((F.col("x") + F.col("c") - 2 * F.coalesce("hits", F.lit(0))).alias("x"), "rep")).alias("best"), F.first("c").alias("c"))
+        moved = scratch.keep(best.filter("best.x < c").select("leader", F.col("best.rep").alias("best")), f"moved-{step}")
+        group = pairs.select("leader", "rep").join(moved, "leader").select("rep", F.col("best").alias("leader"))
+        group = group.union(moved.select(F.col("leader").alias("rep"), F.col("best").alias("leader"))).filter("rep <> leader")
+        return pairs.join(moved, "leader", "left_anti").select("rep", "leader", "linked", "n", "must", "differs").unionByName(compared(group, f"central-{step}"))
+
+    def examined(led: DataFrame, step: int) -> None:
+        """Compares rows of rep and leader, and what doesn't link with the others of its leader."""
+        pairs = scratch.keep(central(compared(led, f"pairs-{step}"), step), f"groups-{step}")
 
         alone = pairs.filter("not linked").select("leader").distinct()
         around = pairs.join(alone, "leader").select("leader", "rep", "linked", "n", "must", F.size("differs").alias("x"), F.explode("differs").alias("e"))
