@@ -152,24 +152,26 @@ def _confirm(k: int, percent: int):
 
 
 def _differ(k: int, percent: int, limit: int):
-    """linked; size of the member's set; how it differs from its leader's; and must: how many of those
-    elements another member that doesn't link to the leader must share at least to link to this one."""
+    """linked; size of the member's set; how it differs from its leader's; and how many of those elements
+    another member must share at least to link to this one: must if the other doesn't link to the leader,
+    least if only this one doesn't."""
 
     def differ(batches):
         set_of = _Sets(k)
         for batch in C.small(batches):
-            linked, sizes, must, differences = [], [], [], []
+            linked, sizes, must, least, differences = [], [], [], [], []
             for a, b, bits in zip(*(batch.column(c).to_pylist() for c in ("text_a", "text_b", "different")), strict=True):
                 member, leader = set_of(a), set_of(b)
                 d = np.setxor1d(member, leader, assume_unique=True)
                 linked.append(bits <= limit and _linked(member, leader, percent))
                 sizes.append(len(member))
                 must.append(((100 + percent) * len(d) + (100 - percent) * (len(leader) - len(member))) // (2 * (100 + percent)) + 1)
+                least.append(max(1, -(((100 - percent) * (len(leader) + len(member)) - (100 + percent) * len(d)) // (2 * (100 + percent)))))
                 differences.append(d.astype(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(d) for d in differences])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*differences, np.empty(0, np.int64)]), pa.int64()))
-            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(must, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "leader", "linked", "n", "must", "differs"])
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(must, pa.int32()), pa.array(least, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "leader", "linked", "n", "must", "least", "differs"])
 
     return differ
 
@@ -213,7 +215,7 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     def compared(led: DataFrame, name: str) -> DataFrame:
         """Rows of rep and leader with their differences; links become edges."""
         pairs = with_texts(with_odd(led.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()), "different")
-        pairs = scratch.keep(pairs.mapInArrow(_differ(shingle, percent, limit), f"rep {kind}, leader {kind}, linked boolean, n int, must int, differs array<long>"), name)
+        pairs = scratch.keep(pairs.mapInArrow(_differ(shingle, percent, limit), f"rep {kind}, leader {kind}, linked boolean, n int, must int, least int, differs array<long>"), name)
         edges.append(pairs.filter("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
         return pairs
 
@@ -234,22 +236,28 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         moved = scratch.keep(best.filter("best.x < c").select("leader", F.col("best.rep").alias("best")), f"moved-{step}")
         group = pairs.select("leader", "rep").join(moved, "leader").select("rep", F.col("best").alias("leader"))
         group = group.union(moved.select(F.col("leader").alias("rep"), F.col("best").alias("leader"))).filter("rep <> leader")
-        return pairs.join(moved, "leader", "left_anti").select("rep", "leader", "linked", "n", "must", "differs").unionByName(compared(group, f"central-{step}"))
+        return pairs.join(moved, "leader", "left_anti").select("rep", "leader", "linked", "n", "must", "least", "differs").unionByName(compared(group, f"central-{step}"))
 
     def examined(led: DataFrame, step: int) -> None:
         """Compares rows of rep and leader, and what doesn't link with the others of its leader."""
         pairs = scratch.keep(central(compared(led, f"pairs-{step}"), step), f"groups-{step}")
 
         alone = pairs.filter("not linked").select("leader").distinct()
-        around = pairs.join(alone, "leader").select("leader", "rep", "linked", "n", "must", F.size("differs").alias("x"), F.explode("differs").alias("e"))
+        around = pairs.join(alone, "leader").select("leader", "rep", "linked", "n", "must", "least", F.size("differs").alias("x"), F.explode("differs").alias("e"))
         shared = around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-        around = around.join(shared, ["leader", "e"]).groupBy("leader", "rep").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"), *[F.first(c).alias(c) for c in ("linked", "n", "must", "x")])
+        around = around.join(shared, ["leader", "e"]).groupBy("leader", "rep").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"), *[F.first(c).alias(c) for c in ("linked", "n", "must", "least", "x")])
         around = scratch.keep(around.withColumn("k", F.size("es")), f"around-{step}")
-        # of the x - must + 1 rarest elements, those that stand nowhere else are gone already
-        u = around.filter("not linked").select("leader", F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("x").alias("x_u"), F.col("k").alias("k_u"), F.explode("es.e").alias("e"))
-        m = around.filter("k >= must").select("leader", F.col("rep").alias("m"), "n", "x", "k", F.explode(F.slice("es", 1, F.col("k") - F.col("must") + 1)).alias("e")).withColumn("e", F.col("e.e"))
-        enough = F.least("k", "k_u") * (2 * (100 + percent)) >= (F.col("x") + F.col("x_u")) * (100 + percent) - (F.col("n") + F.col("n_u")) * (100 - percent)
-        met = u.join(m, (u.leader == m.leader) & (u.e == m.e) & (F.col("u") != F.col("m")) & enough)
+        # Two sets with t common elements have one among the size - t + 1 rarest of each, and the first
+        # one that they share has t - 1 others behind it. Elements that stand nowhere else are gone already.
+        def rarest(c: str):
+            return F.posexplode(F.slice("es.e", 1, F.greatest(F.lit(0), F.col("k") - F.col(c) + 1)))
+
+        u = around.filter("not linked").select("leader", F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("x").alias("x_u"), F.col("k").alias("k_u"), F.col("must").alias("must_u"), rarest("least").alias("at_u", "e"))
+        m = around.filter("k >= must").select("leader", F.col("rep").alias("m"), "linked", "n", "x", "k", rarest("must").alias("at", "e"))
+        behind = F.least(F.col("k") - F.col("at"), F.col("k_u") - F.col("at_u"))
+        enough = behind * (2 * (100 + percent)) >= (F.col("x") + F.col("x_u")) * (100 + percent) - (F.col("n") + F.col("n_u")) * (100 - percent)
+        once = F.col("linked") | ((F.col("u") < F.col("m")) & (F.col("at_u") <= F.col("k_u") - F.col("must_u")))
+        met = u.join(m, (u.leader == m.leader) & (u.e == m.e) & once & enough)
         met = met.select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct()
         met = with_odd(met).filter(F.col("different") <= limit).select("a", "b")
         edges.append(scratch.keep(with_texts(met).mapInArrow(_confirm(shingle, percent), f"a {kind}, b {kind}"), f"met-{step}"))
