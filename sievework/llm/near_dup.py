@@ -12,9 +12,9 @@ it meets: estimate first, then full sets. Members that link to the leader share
 component. A member u that doesn't can only link to another, m, if their differences from
 the leader L have enough in common (|u ^ m| = |u ^ L| + |m ^ L| - 2 common), always more than
 half of m's. So each group that has such a member moves to the member nearest to what most of
-the group has, and the elements of the differences from that leader are joined, of each m the rarest ones
-that must hold a common one; pairs that can't have enough in common are dropped, and the
-rest is confirmed. That settles buckets whose members share one leader; in the others all
+the group has, and the elements of the differences from that leader are joined, of u and of m the rarest ones
+that must hold a common one; pairs that can't have enough in common, also by what stands
+behind the element that they share, are dropped, and the rest is confirmed. That settles buckets whose members share one leader; in the others all
 members are compared with the bucket's own leader in the same way. So no link that the
 bands find is lost, and a group of copies costs one comparison each.
 
