@@ -8,8 +8,9 @@ when a branch's share of blocked labels does not differ from that of its sibling
 proportions, |z| <= Z, at least MIN_LABELS labels on each side). A merged template is
 rejected if its smoothed purity (bad + PRIOR * ALPHA) / (labels + ALPHA) reaches REJECT.
 
-Labels: a boolean column, true for bad; the query takes the verdicts of the rules as labels.
-A template without labels stays at the prior and is allowed.
+Labels: the query joins the table `labels` by the document number that ends a path (bad: toxic
+or of quality 0), so that they reach urls without a rule; a url without such a label is
+labelled by the verdict of its rule. A template without labels stays at the prior and is allowed.
 
 Defined results: null url or one without `://` has an empty host and path; repeated rows
 each get a row; an empty table gives none; extra columns are ignored.
@@ -32,6 +33,8 @@ RULES = [
 ]
 MAX_CHILDREN, MIN_LABELS, Z, ALPHA, PRIOR, REJECT = 50, 5, 1.96, 4.0, 0.2, 0.7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The number of a page's document, at the end of its path.
+NUMBER = r"/([0-9]+)(?:\.[^/.]*)?/?$"
 PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -86,19 +89,29 @@ def templates(urls: DataFrame) -> DataFrame:
     return t.select("host", "template", "merged").join(pure, ["host", "merged"]).withColumn("rejected", F.col("purity") >= REJECT)
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
-    """id, host, path, rule, template, verdict; a row for each row."""
+def doc_labels(labels: DataFrame) -> DataFrame:
+    """number, given (true for bad) from doc_id, quality, toxic; one row for each document."""
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    return labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("number")).agg(F.max(bad).alias("given"))
+
+
+def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, labels: DataFrame | None = None) -> DataFrame:
+    """id, host, path, rule, template, verdict; a row for each row. labels: rows of number, given."""
     host, path = host_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), F.concat_ws("/", segments(F.col("path"))).alias("template"))
-    bad = templates(rows.withColumn("bad", F.col("ruled") == "block")).filter("rejected").select("host", "template", F.lit("block").alias("judged"))
+    known = rows.withColumn("bad", F.col("ruled") == "block")
+    if labels is not None:
+        known = known.withColumn("number", F.regexp_extract("path", NUMBER, 1).try_cast("long")).join(labels, "number", "left").withColumn("bad", F.coalesce("given", "bad"))
+    bad = templates(known).filter("rejected").select("host", "template", F.lit("block").alias("judged"))
     out = rows.join(bad, ["host", "template"], "left")
     return out.select("id", "host", "path", "rule", "template", F.coalesce("ruled", "judged", F.lit("allow")).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(C.table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+    labels = doc_labels(C.table(spark, sf_dir, "labels"))
+    return judge(C.table(spark, sf_dir, "pages"), labels=labels).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
 def _merge_sql(source: str, out: str, last: bool) -> str:

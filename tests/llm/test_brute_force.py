@@ -405,3 +405,12 @@ def test_url_templates(spark):
     t = urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean"))
     got = {r.template: r.rejected for r in t.collect()}
     assert got["es/{n}"] and got["fr/{n}/x"] and not got["en/{n}"] and not got["p/a"]
+
+
+def test_url_labels(spark):
+    """Labels of documents reach urls that no rule names, by the number in the path."""
+    pages = [(i, f"http://a.org/bad/{i}.html") for i in range(12)] + [(i, f"http://a.org/good/{i}/?x") for i in range(20, 32)] + [(40, "http://a.org/bad/40"), (41, "http://a.org/bad/none"), (42, f"http://a.org/bad/{'9' * 30}.html")]
+    labels = [(i, 1, 1) for i in range(8)] + [(i, 1, 0) for i in range(20, 28)] + [(0, 1, 1), (None, 0, 1)]
+    labels = urls.doc_labels(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = dict(by_id(urls.judge(spark.createDataFrame(pages, "page_id int, url string"), labels=labels), "id", "verdict"))
+    assert got == {i: "block" if i < 12 or i == 42 else "allow" for i, _ in pages}
