@@ -3,9 +3,9 @@
 Only DataFrame functions. Each path becomes a template: runs of digits read `{n}`, long hex
 names `{h}`, A-Z lowered. Urls are first counted by host and template, and the tree work is
 on those counts alone. At the first and then at the last segment, siblings (templates equal
-elsewhere) merge into the wildcard `*` when there are more than MAX_CHILDREN of them, or
-when a branch's share of blocked labels does not differ from that of its siblings (two
-proportions, |z| <= Z, at least MIN_LABELS labels on each side). A merged template is
+elsewhere) merge into the wildcard `*` when a branch's share of bad labels does not differ
+from that of its siblings (two proportions, |z| <= Z, at least MIN_LABELS labels on each
+side), however many there are; a branch without labels never merges. A merged template is
 rejected if its smoothed purity (bad + PRIOR * ALPHA) / (labels + ALPHA) reaches REJECT.
 
 Labels: the query joins the table `labels` by the document number that ends a path (bad: toxic
@@ -31,6 +31,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
+#: MAX_CHILDREN stands in the SQL alone.
 MAX_CHILDREN, MIN_LABELS, Z, ALPHA, PRIOR, REJECT = 50, 5, 1.96, 4.0, 0.2, 0.7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The number of a page's document, at the end of its path.
@@ -69,12 +70,12 @@ def _merge(t: DataFrame, last: bool) -> DataFrame:
     masked = F.transform("seg", lambda s, i: F.when(i + 1 == F.col("at"), F.lit("*")).otherwise(s))
     t = t.withColumn("at", at).withColumn("mask", F.concat_ws("/", masked)).withColumn("own", F.expr("get(seg, at - 1)"))
     branch = t.groupBy("host", "mask", "own").agg(F.sum("labels").alias("bl"), F.sum("bad").alias("bb"))
-    group = branch.groupBy("host", "mask").agg(F.count(F.lit(1)).alias("children"), F.sum("bl").alias("gl"), F.sum("bb").alias("gb"))
+    group = branch.groupBy("host", "mask").agg(F.sum("bl").alias("gl"), F.sum("bb").alias("gb"))
     rest, one = F.col("gl") - F.col("bl"), F.lit(1)
     p = F.try_divide(F.col("gb"), F.col("gl"))
     gap = F.try_divide(F.col("bb"), F.col("bl")) - F.try_divide(F.col("gb") - F.col("bb"), rest)
     alike = (F.col("bl") >= MIN_LABELS) & (rest >= MIN_LABELS) & (gap * gap <= Z * Z * p * (1 - p) * (F.try_divide(one, F.col("bl")) + F.try_divide(one, rest)))
-    branch = branch.join(group, ["host", "mask"]).select("host", "mask", "own", ((F.col("children") > MAX_CHILDREN) | F.coalesce(alike, F.lit(False))).alias("wild"))
+    branch = branch.join(group, ["host", "mask"]).select("host", "mask", "own", F.coalesce(alike, F.lit(False)).alias("wild"))
     joined = t.join(branch, (t.host == branch.host) & (t["mask"] == branch["mask"]) & t.own.eqNullSafe(branch.own), "left").select(t["*"], "wild")
     seg = F.when(F.col("wild") & (F.col("at") > 0), F.transform("seg", lambda s, i: F.when(i + 1 == F.col("at"), F.lit("*")).otherwise(s))).otherwise(F.col("seg"))
     return joined.withColumn("seg", seg).drop("at", "mask", "own", "wild")

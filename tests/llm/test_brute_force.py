@@ -414,3 +414,12 @@ def test_url_labels(spark):
     labels = urls.doc_labels(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     got = dict(by_id(urls.judge(spark.createDataFrame(pages, "page_id int, url string"), labels=labels), "id", "verdict"))
     assert got == {i: "block" if i < 12 or i == 42 else "allow" for i, _ in pages}
+
+
+@pytest.mark.parametrize("siblings", [40, 60])
+def test_url_siblings(spark, siblings):
+    """Verdicts do not turn on the number of siblings: unlabelled ones stay at the prior, a bad one among good ones is found."""
+    rows = [("a.net", f"/es/{i}", True) for i in range(20)] + [("a.net", f"/{chr(97 + i // 26)}{chr(97 + i % 26)}x/{i}", None) for i in range(siblings)]
+    rows += [("b.net", f"/{chr(97 + i // 26)}{chr(97 + i % 26)}x/{k}", i == 0) for i in range(siblings) for k in range(20)]
+    t = urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean"))
+    assert {(r.host, r.template) for r in t.filter("rejected").collect()} == {("a.net", "es/{n}"), ("b.net", "aax/{n}")}
