@@ -2,11 +2,13 @@
 
 Only DataFrame functions. Each path becomes a template: runs of digits read `{n}`, long hex
 names `{h}`, A-Z lowered. Urls are first counted by host and template, and the tree work is
-on those counts alone. At the first and then at the last segment, siblings (templates equal
-elsewhere) merge into the wildcard `*` when a branch's share of bad labels does not differ
-from that of its siblings (two proportions, |z| <= Z, at least MIN_LABELS labels on each
-side), however many there are; a branch without labels never merges. A merged template is
-rejected if its smoothed purity (bad + PRIOR * ALPHA) / (labels + ALPHA) reaches REJECT.
+on those counts alone. At each depth, from the deepest labelled segment up to the first,
+siblings (templates equal elsewhere, below as merged so far) merge when a branch's share of
+bad labels does not differ from that of its siblings (two proportions, |z| <= Z), however
+many there are: branches of at least MIN_LABELS labels into the wildcard `*`, those with
+fewer, such as variable words, among themselves into `?`. A branch without labels never
+merges. A merged template is rejected if its smoothed purity
+(bad + PRIOR * ALPHA) / (labels + ALPHA) reaches REJECT.
 
 Labels: the query joins the table `labels` by the document number that ends a path (bad: toxic
 or of quality 0), so that they reach urls without a rule; a url without such a label is
@@ -63,31 +65,36 @@ def segments(path: Column) -> Column:
     return F.transform(F.filter(F.split(F.translate(path, UPPER, LOWER), "/"), lambda s: s != ""), typed)
 
 
-def _merge(t: DataFrame, last: bool) -> DataFrame:
-    """Replaces one segment of `seg` by * where siblings merge."""
-    n = F.size("seg")
-    at = F.when(n == 0, F.lit(0)).otherwise(n if last else F.lit(1))
-    masked = F.transform("seg", lambda s, i: F.when(i + 1 == F.col("at"), F.lit("*")).otherwise(s))
-    t = t.withColumn("at", at).withColumn("mask", F.concat_ws("/", masked)).withColumn("own", F.expr("get(seg, at - 1)"))
-    branch = t.groupBy("host", "mask", "own").agg(F.sum("labels").alias("bl"), F.sum("bad").alias("bb"))
-    group = branch.groupBy("host", "mask").agg(F.sum("bl").alias("gl"), F.sum("bb").alias("gb"))
+def _merge(t: DataFrame, depth: int) -> DataFrame:
+    """Replaces the segment of `seg` at a depth (from 1) by * or ? where siblings merge."""
+    put = lambda mark: F.transform("seg", lambda s, i: F.when(i + 1 == depth, mark).otherwise(s))
+    t = t.withColumn("mask", F.concat_ws("/", put(F.lit("*")))).withColumn("own", F.expr(f"get(seg, {depth - 1})"))
+    branch = t.filter("own is not null").groupBy("host", "mask", "own").agg(F.sum("labels").alias("bl"), F.sum("bad").alias("bb"))
+    branch = branch.withColumn("few", F.col("bl") < MIN_LABELS)
+    group = branch.groupBy("host", "mask", "few").agg(F.sum("bl").alias("gl"), F.sum("bb").alias("gb"))
     rest, one = F.col("gl") - F.col("bl"), F.lit(1)
     p = F.try_divide(F.col("gb"), F.col("gl"))
     gap = F.try_divide(F.col("bb"), F.col("bl")) - F.try_divide(F.col("gb") - F.col("bb"), rest)
-    alike = (F.col("bl") >= MIN_LABELS) & (rest >= MIN_LABELS) & (gap * gap <= Z * Z * p * (1 - p) * (F.try_divide(one, F.col("bl")) + F.try_divide(one, rest)))
-    branch = branch.join(group, ["host", "mask"]).select("host", "mask", "own", F.coalesce(alike, F.lit(False)).alias("wild"))
-    joined = t.join(branch, (t.host == branch.host) & (t["mask"] == branch["mask"]) & t.own.eqNullSafe(branch.own), "left").select(t["*"], "wild")
-    seg = F.when(F.col("wild") & (F.col("at") > 0), F.transform("seg", lambda s, i: F.when(i + 1 == F.col("at"), F.lit("*")).otherwise(s))).otherwise(F.col("seg"))
-    return joined.withColumn("seg", seg).drop("at", "mask", "own", "wild")
+    alike = (rest > 0) & (gap * gap <= Z * Z * p * (1 - p) * (F.try_divide(one, F.col("bl")) + F.try_divide(one, rest)))
+    branch = branch.join(group, ["host", "mask", "few"]).filter(alike).select("host", "mask", "own", F.when(F.col("few"), F.lit("?")).otherwise(F.lit("*")).alias("wild"))
+    joined = t.join(branch, ["host", "mask", "own"], "left")
+    return joined.withColumn("seg", F.when(F.col("wild").isNull(), F.col("seg")).otherwise(put(F.col("wild")))).drop("mask", "own", "wild")
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """host, template, merged, purity, rejected from rows of host, path, bad (true, false or null)."""
+    scratch = C.Scratch(urls.sparkSession, "urls")
     t = urls.select("host", segments(F.col("path")).alias("seg"), "bad")
     t = t.groupBy("host", F.concat_ws("/", "seg").alias("template")).agg(F.first("seg").alias("seg"), F.count("bad").alias("labels"), F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0))).alias("bad"))
-    t = _merge(_merge(t, False), True).withColumn("merged", F.concat_ws("/", "seg"))
+    every = scratch.keep(t, "templates")
+    t = every.filter("labels > 0")
+    for depth in range(t.agg(F.max(F.size("seg"))).first()[0] or 0, 0, -1):
+        t = scratch.keep(_merge(t, depth), f"depth-{depth}")
+    t = t.withColumn("merged", F.concat_ws("/", "seg"))
     pure = t.groupBy("host", "merged").agg(((F.sum("bad") + PRIOR * ALPHA) / (F.sum("labels") + ALPHA)).alias("purity"))
-    return t.select("host", "template", "merged").join(pure, ["host", "merged"]).withColumn("rejected", F.col("purity") >= REJECT)
+    t = t.select("host", "template", "merged").join(pure, ["host", "merged"])
+    rest = every.filter("labels = 0").select("host", F.col("template").alias("merged"), "template", F.lit(PRIOR).alias("purity"))
+    return t.unionByName(rest).withColumn("rejected", F.col("purity") >= REJECT)
 
 
 def doc_labels(labels: DataFrame) -> DataFrame:

@@ -423,3 +423,13 @@ def test_url_siblings(spark, siblings):
     rows += [("b.net", f"/{chr(97 + i // 26)}{chr(97 + i % 26)}x/{k}", i == 0) for i in range(siblings) for k in range(20)]
     t = urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean"))
     assert {(r.host, r.template) for r in t.filter("rejected").collect()} == {("a.net", "es/{n}"), ("b.net", "aax/{n}")}
+
+
+def test_url_depths(spark):
+    """Variable words merge at any depth, though each has one label."""
+    word = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}x"
+    rows = [("a.org", f"/shop/{word(i)}/item", True) for i in range(20)] + [("a.org", f"/news/{word(i)}/item", False) for i in range(20)]
+    rows += [("b.org", f"/a/{word(i)}/b/{word(i * 7 % 40)}/c/{word(i // 2)}/{i}", i % 10 > 0) for i in range(40)] + [("b.org", "/a/other/b", None)]
+    t = urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean"))
+    got = {(r.host, r.template): r.rejected for r in t.collect()}
+    assert all(got["a.org", f"shop/{word(i)}/item"] and not got["a.org", f"news/{word(i)}/item"] for i in range(20)) and not got["b.org", "a/other/b"]
