@@ -433,3 +433,14 @@ def test_url_depths(spark):
     t = urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean"))
     got = {(r.host, r.template): r.rejected for r in t.collect()}
     assert all(got["a.org", f"shop/{word(i)}/item"] and not got["a.org", f"news/{word(i)}/item"] for i in range(20)) and not got["b.org", "a/other/b"]
+
+
+@pytest.mark.parametrize("shard", [8, 400])
+def test_html_rare_section(spark, shard):
+    """A section on few pages of a large host goes, in any dealing; equal rows are one page, and runs of other hosts do not count."""
+    section = "<div>these words of the small section stand on a few pages</div>"
+    page = lambda i: f"<div><p>{' '.join(f'u{i}x{k}' for k in range(9))}</p></div>"
+    rows = [(i, "http://h.x/", page(i) + (section if i < 5 else "")) for i in range(100)]
+    rows += [(200 + i, f"http://{h}.x/", page(200 + i) + section) for i, h in enumerate("kkmm")] + [(200, "http://k.x/", page(200) + section)]
+    got = html.extract(spark.createDataFrame(rows, "page_id int, url string, html string"), shard_pages=shard).collect()
+    assert len(got) == len(rows) and all(("section" in r.text) == (r.id >= 200) and f"u{r.id}x8" in r.text for r in got)
