@@ -435,6 +435,16 @@ def test_url_depths(spark):
     assert all(got["a.org", f"shop/{word(i)}/item"] and not got["a.org", f"news/{word(i)}/item"] for i in range(20)) and not got["b.org", "a/other/b"]
 
 
+@pytest.mark.parametrize("shard", [8, 400])
+def test_html_left_over(spark, shard):
+    """Blocks outside an article are judged too: what the host's pages share goes, unique runs stay."""
+    page = lambda i: f"<div>Home About Contact our friends and partners Login</div><article><p>body {i}</p></article><div><p>{' '.join(f'u{i}x{k}' for k in range(9))}</p></div>"
+    rows = [(i, f"http://h.x/{i}", page(i)) for i in range(24)] + [(0, "http://h.x/0", page(0))]
+    got = html.extract(spark.createDataFrame(rows, "page_id int, url string, html string"), shard_pages=shard).collect()
+    want = {i: f"body {i}\n\n" + " ".join(f"u{i}x{k}" for k in range(9)) for i in range(24)}
+    assert len(got) == 25 and all(r.text == want[r.id] for r in got)
+
+
 @pytest.mark.parametrize("shard", [8, 400])
 def test_html_rare_section(spark, shard):
     """A section on few pages of a large host goes, in any dealing; equal rows are one page, and runs of other hosts do not count."""
