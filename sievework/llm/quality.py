@@ -1,13 +1,13 @@
 """Quality rules: counts of each document and cross-document line frequency.
 
 Lines are normalised (A-Z lowered, digits read as 0, white space collapsed) and hashed;
-for each host the distinct texts that hold a line are counted, so exact copies of one
-document count once. A line at or above the host's limit is taken out, and a document of
-which less than `min_left` percent of the words remain is rejected as depleted.
+for each host the distinct documents that hold a line are counted (by id and text, so copies
+under other ids count, rows that repeat do not). A line in `min_docs` of them, whatever the
+size of the host, is taken out, and a document of which less than `min_left` percent of the
+words remain is rejected as depleted.
 
-Skew: lines are distinct within a document and texts distinct within a host before the
-count, which is a partial aggregation; only lines at the limit are joined back, and they are
-at most 100 / ratio times the mean lines of a document for each host.
+Skew: lines are distinct within a document before the count, which is a partial
+aggregation; the lines at the limit, however many, are joined back by Spark's own choice.
 
 Defined results: null text has no words (base fails); null host is a host of its own; rows
 repeated with one id each get a row; an empty table gives no rows; extra columns are ignored.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: A line in so many distinct texts of its host, and in so many percent of them, is boilerplate.
-MIN_DOCS, PERCENT, MIN_LEFT = 20, 10, 30
+#: A line in so many distinct documents of its host is boilerplate.
+MIN_DOCS, MIN_LEFT = 20, 30
 MIN_WORDS, MAX_REPEAT = 50, 50
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -80,7 +80,6 @@ def judge(
     text: str = "text",
     host: str = "source",
     min_docs: int = MIN_DOCS,
-    percent: int = PERCENT,
     min_left: int = MIN_LEFT,
     min_words: int = MIN_WORDS,
     max_repeat: int = MAX_REPEAT,
@@ -92,24 +91,21 @@ def judge(
         F.col(doc_id).alias("id"),
         C.row_key(F.col(doc_id), F.col(text)).alias("row_key"),
         F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("host"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content"),
         F.col(text).cast("string").alias("text"),
     )
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     kinds += "".join(f", {c} long" for c in COUNTS) + ", line array<long>, line_words array<int>"
     rows = scratch.keep(rows.mapInArrow(_measure, kinds), "rows")
 
-    texts = rows.groupBy("host", "content").agg(F.first("line").alias("line"))
-    lines = texts.select("host", F.explode(F.array_distinct("line")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    hosts = rows.groupBy("host").agg(F.count_distinct("content").alias("all"))
-    often = lines.filter(F.col("n") >= min_docs).join(hosts, "host").filter(F.col("n") * 100 >= F.col("all") * percent)
-    often = scratch.keep(often.select("host", "line"), "often")
+    each = rows.groupBy("host", "id", "row_key").agg(F.first("line").alias("line"))
+    lines = each.select("host", F.explode(F.array_distinct("line")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    often = scratch.keep(lines.filter(F.col("n") >= min_docs).select("host", "line"), "often")
 
     hits = rows.select("id", "row_key", "host", F.posexplode(F.arrays_zip("line", "line_words")).alias("at", "x"))
     hits = hits.select("id", "row_key", "host", "at", F.col("x.line").alias("line"), F.col("x.line_words").alias("words"))
     hits = hits.join(often, ["host", "line"]).dropDuplicates(["id", "row_key", "at"])
     hits = hits.groupBy(F.col("id").alias("id2"), F.col("row_key").alias("key2")).agg(F.sum("words").alias("gone"), F.sort_array(F.collect_list("at")).alias("removed"))
-    out = rows.drop("line", "line_words", "content").join(hits, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row_key") == F.col("key2")), "left").drop("id2", "key2")
+    out = rows.drop("line", "line_words").join(hits, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row_key") == F.col("key2")), "left").drop("id2", "key2")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     return (

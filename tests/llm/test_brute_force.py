@@ -454,3 +454,16 @@ def test_html_rare_section(spark, shard):
     rows += [(200 + i, f"http://{h}.x/", page(200 + i) + section) for i, h in enumerate("kkmm")] + [(200, "http://k.x/", page(200) + section)]
     got = html.extract(spark.createDataFrame(rows, "page_id int, url string, html string"), shard_pages=shard).collect()
     assert len(got) == len(rows) and all(("section" in r.text) == (r.id >= 200) and f"u{r.id}x8" in r.text for r in got)
+
+
+def test_quality_large_host(spark):
+    """A line in 20 documents goes on a host of any size, also where they are copies; rows that repeat are one document."""
+    rnd = random.Random(13)
+    body = lambda: " ".join(str(rnd.random()) for _ in range(60))
+    docs = [(i, ("the notice of a small section\n" if i < 20 else "") + body(), "h") for i in range(400)]
+    copy = "\n".join(f"line {chr(97 + k)} of a document that is copied" for k in range(9))
+    docs += [(1000 + i, copy, "c") for i in range(20)] + [(2000, copy, "d")] * 20
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.id: (r.n_words, r.n_left) for r in quality.judge(df, max_repeat=100).collect()}
+    assert all(got[i] == ((66, 60) if i < 20 else (60, 60)) for i in range(400))
+    assert all(got[1000 + i] == (72, 0) for i in range(20)) and got[2000] == (72, 72)
