@@ -1,7 +1,8 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
   quality_rules    rejected documents go; lines above their host's limit go
-  line_dedup       lines that stand earlier in the corpus, or nearly so, go; all documents stay
+  line_dedup       lines that stand earlier in the corpus, or nearly so, go (exact repeats
+                   at every length); all documents stay
   near_dedup       one document of each group stays (five-word shingles, similarity 0.8)
   decontamination  documents that hold a window of a benchmark item go
   byte_bpe         token ids of each text, decoded again as a check
@@ -30,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup.clean(docs))
+    return _counted(line_dedup.clean(docs, exact_bytes=1))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Line dedup: a segment-partition edit join over all lines.
 
-Lines (split at \\n, trimmed of ASCII white space) of at least MIN_BYTES bytes take part. A
-line goes if an equal line stands earlier, or if its text lies within TAU edits (over UTF-8
-bytes) of another whose first occurrence is earlier; earlier means by (doc_id, line number).
+Lines (split at \\n, trimmed of ASCII white space) of at least MIN_BYTES bytes take part, and
+with `exact_bytes` also shorter ones of that many bytes, for exact repeats alone. A line
+goes if an equal line stands earlier, or if it is of MIN_BYTES bytes and its text lies
+within TAU edits (over UTF-8 bytes) of another whose first occurrence is earlier; earlier
+means by (doc_id, line number).
 
 Join: every line is cut into TAU + 1 segments; of two lines within TAU edits one holds a
 whole segment of the other. Lines index their segments by (length, segment number, hash) and
@@ -16,7 +18,7 @@ Skew: a bucket of n lines makes ceil(n / BLOCK) blocks by a hash of the line, an
 that pass the count filter leave a block. Equal lines meet as one line; their occurrences
 are counted by a partial aggregation.
 
-Defined results: null text has no lines; shorter lines stay as they are; rows repeated under
+Defined results: null text has no lines; other lines stay as they are; rows repeated under
 one id tie, and the first occurrence stays in both; a null id comes before all others; an
 empty table gives no rows; extra columns are ignored.
 """
@@ -280,15 +282,19 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(texts, pa.binary())], names=["line", "text"])
 
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """id, row_key, n_lines, removed (numbers of the lines that go, from 0); a row for each row."""
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
+    """id, row_key, n_lines, removed (numbers of the lines that go, from 0); a row for each row.
+
+    exact_bytes: length from which equal lines go, at least 1; min_bytes if not given.
+    """
     if min_bytes <= 2 * tau:
         raise ValueError("min_bytes must exceed 2 * tau")
+    exact_bytes = min_bytes if exact_bytes is None else max(1, min(exact_bytes, min_bytes))
     spark = C.bounded(docs)
     scratch = C.Scratch(spark, "lines")
     rows = docs.select(F.col(doc_id).alias("id"), C.row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    scanned = rows.mapInArrow(_scan(tau, min_bytes), f"id {kind}, key long, n_lines long, line array<long>, number array<int>, bag array<long>")
+    scanned = rows.mapInArrow(_scan(tau, exact_bytes), f"id {kind}, key long, n_lines long, line array<long>, number array<int>, bag array<long>")
     scanned = scratch.keep(scanned, "scanned")
     every = scanned.select("id", "key", F.explode(F.arrays_zip("line", "number", "bag")).alias("x")).select("id", "key", "x.*")
 

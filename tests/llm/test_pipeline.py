@@ -51,3 +51,11 @@ def test_empty_and_nulls(spark, tmp_path):
         items.write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
         for _, stage in pipeline.STAGES:
             assert stage(spark, docs, str(tmp_path)).count() <= len(given)
+
+
+def test_short_lines(spark):
+    """Exact repeats of short lines go; blank lines and short lines that only look alike stay."""
+    rows = [(1, "les.\n\nand ornd.\na"), (2, " les. \n\nles\nand ornd.\nb"), (3, "a\na line of sixteen bytes and more"), (4, "a line of sixteen bytes and moro\nb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "\nles\nb", 3: "a line of sixteen bytes and more", 4: ""}
