@@ -8,6 +8,7 @@ chunk and not the batch or the partition.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a local one only where it is unset."""
+    """The folder that driver and executors share; a temporary one only in local mode, where it is unset."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
@@ -77,6 +80,47 @@ def row_key(doc_id, text):
     return F.xxhash64(doc_id.cast("string"), F.lit("\x00"), text)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1, ..., which clash with no name of an operator."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The name in apart(df) of a column, which Spark finds whatever its case."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    found = exact or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{name} names {len(found)} columns of {df.columns}")
+    return f"c{found[0]}"
+
+
+def marked(docs: DataFrame, marks: DataFrame, doc_id: str, text: str, how: str = "inner") -> DataFrame:
+    """Rows of apart(docs) joined with `marks` (id, row_key and more; one row each) of their id and text."""
+    rows = apart(docs)
+    key = row_key(F.col(place(docs, doc_id)), F.col(place(docs, text)))
+    own = marks.withColumnsRenamed({"id": "mark_id", "row_key": "mark_key"}).hint("merge")
+    same = F.col(place(docs, doc_id)).eqNullSafe(F.col("mark_id")) & (F.col("own_key") == F.col("mark_key"))
+    return rows.withColumn("own_key", key).join(own, same, how).drop("own_key", "mark_id")
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of apart(docs) under their own names again, and nothing else."""
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def join_each(rows: DataFrame, each: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows joined with `each`, a written table with one row for each key and n, about the number of its rows.
+
+    Keys with more than 1 / (4 * shuffle partitions) of all n, fewer than 4 * shuffle partitions
+    by their definition, meet their rows by broadcast; all others by shuffle. So no key, however
+    hot, gathers its rows in one task, and what is broadcast does not grow with the data."""
+    total = each.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) * (4 * parts(rows.sparkSession)) > total
+    many, few = each.filter(hot), each.filter(~hot)
+    rest = rows.join(F.broadcast(many.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(many), on).unionByName(rest.join(few, on))
+
+
 # --- text in numpy ---------------------------------------------------------------------------
 
 

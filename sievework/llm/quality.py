@@ -4,13 +4,15 @@ Lines are normalised (A-Z lowered, digits read as 0, white space collapsed) and
 for each host the distinct documents that hold a line are counted (by id and text, so copies
 under other ids count, rows that repeat do not). A line in `min_docs` of them, whatever the
 size of the host, is taken out, and a document of which less than `min_left` percent of the
-words remain is rejected as depleted.
+words or fewer than `min_words` remain is rejected as depleted.
 
 Skew: lines are distinct within a document before the count, which is a partial
-aggregation; the lines at the limit, however many, are joined back by Spark's own choice.
+aggregation; the lines at the limit are joined back, the hottest by broadcast and all others,
+however many, by shuffle.
 
 Defined results: null text has no words (base fails); null host is a host of its own; rows
-repeated with one id each get a row; an empty table gives no rows; extra columns are ignored.
+repeated with one id each get a row, and clean() keeps each; an empty table gives no rows;
+extra columns, whatever their names, are ignored by judge() and returned by clean().
 """
 
 from __future__ import annotations
@@ -99,11 +101,11 @@ def judge(
 
     each = rows.groupBy("host", "id", "row_key").agg(F.first("line").alias("line"))
     lines = each.select("host", F.explode(F.array_distinct("line")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    often = scratch.keep(lines.filter(F.col("n") >= min_docs).select("host", "line"), "often")
+    often = scratch.keep(lines.filter(F.col("n") >= min_docs), "often")
 
     hits = rows.select("id", "row_key", "host", F.posexplode(F.arrays_zip("line", "line_words")).alias("at", "x"))
     hits = hits.select("id", "row_key", "host", "at", F.col("x.line").alias("line"), F.col("x.line_words").alias("words"))
-    hits = hits.join(often, ["host", "line"]).dropDuplicates(["id", "row_key", "at"])
+    hits = C.join_each(hits, often, ["host", "line"]).dropDuplicates(["id", "row_key", "at"])
     hits = hits.groupBy(F.col("id").alias("id2"), F.col("row_key").alias("key2")).agg(F.sum("words").alias("gone"), F.sort_array(F.collect_list("at")).alias("removed"))
     out = rows.drop("line", "line_words").join(hits, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row_key") == F.col("key2")), "left").drop("id2", "key2")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
@@ -111,7 +113,7 @@ def judge(
     return (
         out.withColumn("n_left", left)
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (left * 100 >= F.col("n_words") * min_left))
+        .withColumn("kept", ~failed & (left * 100 >= F.col("n_words") * min_left) & (left >= min_words))
         .drop("gone")
     )
 
@@ -138,15 +140,10 @@ def _drop_lines(batches):
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The documents that are kept, with all their columns, without the lines above the limits."""
-    kinds = docs.schema
-    verdict = judge(docs, doc_id, text, host, **limits).filter("kept")
-    verdict = verdict.select(F.col("id").alias("_id"), F.col("row_key").alias("_key"), "removed").dropDuplicates(["_id", "_key"])
-    key = C.row_key(F.col(doc_id), F.col(text))
-    out = docs.withColumn("_row", key).join(verdict.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
-    out = out.select(*[F.col(f.name).alias("text" if f.name == text else f"c{i}") for i, f in enumerate(kinds)], "removed")
-    shape = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(out.columns, kinds, strict=False))
-    out = out.mapInArrow(_drop_lines, shape)
-    return out.select(*[F.col(out.columns[i]).alias(f.name) for i, f in enumerate(kinds)])
+    verdict = judge(docs, doc_id, text, host, **limits).filter("kept").select("id", "row_key", "removed").dropDuplicates(["id", "row_key"])
+    out = C.marked(docs, verdict, doc_id, text).drop("mark_key").withColumnRenamed(C.place(docs, text), "text")
+    out = out.mapInArrow(_drop_lines, out.drop("removed").schema)
+    return C.named(out.withColumnRenamed("text", C.place(docs, text)), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,9 +162,7 @@ l AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
     array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+'), ' ') AS norm
     FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
-h AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY 1),
-often AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM l GROUP BY 1, 2) f JOIN h USING (host)
-    WHERE f.n >= 20 AND 100 * f.n >= 10 * h.n),
+often AS (SELECT host, norm FROM l GROUP BY 1, 2 HAVING count(DISTINCT (doc_id, text)) >= 20),
 gone AS (SELECT doc_id, sum(n) AS n FROM l SEMI JOIN often USING (host, norm) GROUP BY 1),
 r AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
@@ -177,5 +172,5 @@ r AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN gone USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND 100 * (n_words - gone) >= 30 * n_words AS kept FROM f
+    NOT base_failed AND 100 * (n_words - gone) >= 30 * n_words AND n_words - gone >= 50 AS kept FROM f
 """
