@@ -1,26 +1,33 @@
 """Line dedup: a segment-partition edit join over all lines.
 
-Lines (split at \\n, trimmed of ASCII white space) of at least MIN_BYTES bytes take part, and
-with `exact_bytes` also shorter ones of that many bytes, for exact repeats alone. A line
-goes if an equal line stands earlier, or if it is of MIN_BYTES bytes and its text lies
-within TAU edits (over UTF-8 bytes) of another whose first occurrence is earlier; earlier
-means by (doc_id, line number).
+Lines are split at \\n and trimmed of ASCII white space; blank ones take no part. A line goes
+if an equal line stands earlier, or if it is of MIN_BYTES bytes and its text lies within TAU
+edits (over UTF-8 bytes) of another of MIN_BYTES bytes whose first occurrence is earlier;
+earlier means by (doc_id, line number). Two edits in a line of under 16 bytes are more than an
+eighth of it (all words of three letters lie within three edits), so short lines go only as
+exact repeats.
 
 Join: every line is cut into TAU + 1 segments; of two lines within TAU edits one holds a
 whole segment of the other. Lines index their segments by (length, segment number, hash) and
 probe with the substrings that can match lines of their length or up to TAU shorter
-(multi-match-aware positions). Signatures are packed into binary blocks and meet by hash
-partition; only buckets with different lines go on. There, pairs whose byte-class counts
+(multi-match-aware positions). Signatures are packed into binary blocks, sorted by a part of
+the hash and met one part at a time, with as many parts as the lines need for parts of about
+PART_BYTES; only buckets with different lines go on. There, pairs whose byte-class counts
 differ by more than 2 * TAU are dropped, in blocks of BLOCK lines, and what is left is
 verified by a banded bit-parallel edit distance.
 
-Skew: a bucket of n lines makes ceil(n / BLOCK) blocks by a hash of the line, and only pairs
-that pass the count filter leave a block. Equal lines meet as one line; their occurrences
-are counted by a partial aggregation.
+Skew: a bucket of more than BLOCK lines (a segment that very many lines share) is dealt anew:
+cut into TAU + 2 segments, lines within TAU edits share two of them, so one besides what lies
+in the shared segment; lines meet again only by that. What is still larger makes
+ceil(n / BLOCK) blocks by a hash of the line, and only pairs that pass the count filter leave
+a block. Equal lines meet as one line; their occurrences are counted by a partial aggregation,
+and hot lines are joined back by broadcast. Equal means equal in 127 bits of hashes; lines
+that are only alike are confirmed by their texts.
 
 Defined results: null text has no lines; other lines stay as they are; rows repeated under
 one id tie, and the first occurrence stays in both; a null id comes before all others; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns, whatever their names, are ignored by duplicates()
+and returned by clean().
 """
 
 from __future__ import annotations
@@ -33,6 +40,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 TAU, MIN_BYTES, BLOCK, CLASSES = 2, 16, 2048, 16
+PART_BYTES, HELD_BYTES = 32 << 20, 16 << 20
 _ENTRY = np.dtype([("sig", "V5"), ("line", "<u8")])
 #: Byte classes of the count filter, by a fixed hash of the byte.
 _CLASS = (C.seeded(256, 41) % C.U(CLASSES)).astype(np.int8)
@@ -58,10 +66,11 @@ def segments(length: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(size, 0) - size, size
 
 
-def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray, tau: int):
-    """(line index, signature, whether it indexes a segment) of the given lines."""
+def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray, tau: int, places: bool = False):
+    """(line index, signature, whether it indexes a segment) of the given lines; with `places` also the
+    length of the lines that are looked for and the number of the segment."""
     values, length = C.BYTES[data], end - start
-    owner, sig, index = [], [], []
+    owner, sig, index, lengths, numbers = [], [], [], [], []
     lines = np.arange(len(start))
 
     def add(which, at, size, own, i, is_index):
@@ -71,6 +80,9 @@ def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray, tau: int):
         owner.append(which)
         sig.append(h)
         index.append(np.full(len(which), is_index))
+        if places:
+            lengths.append(own)
+            numbers.append(np.full(len(which), i))
 
     for less in range(tau + 1):
         own = length - less  # the length of the lines that are looked for
@@ -82,7 +94,10 @@ def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray, tau: int):
                 p = at[i] + shift
                 ok = np.flatnonzero((p >= 0) & (p + size[i] <= length) & (size[i] > 0))
                 add(lines[ok], p[ok], size[i][ok], own[ok], i, less == 0 and shift == 0)
-    return np.concatenate(owner), np.concatenate(sig), np.concatenate(index)
+    return tuple(map(np.concatenate, (owner, sig, index, *((lengths, numbers) if places else ()))))
+
+
+_CHECK = C.seeded(256, 43)
 
 
 def _line_ids(data, start, end):
@@ -112,10 +127,11 @@ def _scan(tau: int, min_bytes: int):
                         *(batch.column(c).slice(row, stop - row) for c in names),
                         pa.array(np.where(empty, 0, n_lines).astype(np.int64)),
                         lists(_line_ids(data, start, end).astype(np.int64), pa.int64()),
+                        lists(C.span_hash(_CHECK[data], start, end).astype(np.int64), pa.int64()),
                         lists(number.astype(np.int32), pa.int32()),
                         lists(bag.astype(np.int64), pa.int64()),
                     ],
-                    names=[*names, "n_lines", "line", "number", "bag"],
+                    names=[*names, "n_lines", "line", "check", "number", "bag"],
                 )
 
     return scan
@@ -150,38 +166,97 @@ def _pack(tau: int, min_bytes: int, parts: int):
     return pack
 
 
+def _distinct(sig: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((line, sig))
+    sig, line = sig[order], line[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (line[1:] != line[:-1])
+    return sig[new], line[new]
+
+
+def _shared(sig: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries of buckets that hold different lines, one of them indexed (its lowest bit)."""
+    if not len(sig):
+        return sig, line
+    own = line >> C.U(1)
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    bucket = np.cumsum(first) - 1
+    n_lines = np.bincount(bucket, weights=first | np.concatenate([[True], own[1:] != own[:-1]]))
+    n_index = np.bincount(bucket, weights=(line & C.U(1)).astype(np.int64))
+    ok = ((n_lines > 1) & (n_index > 0))[bucket]
+    sig, line = sig[ok], line[ok]
+    # a line that is indexed and probes one bucket stands there once, as indexed
+    twice = np.zeros(len(sig), bool)
+    twice[:-1] = (sig[1:] == sig[:-1]) & (line[1:] >> C.U(1) == line[:-1] >> C.U(1))
+    return sig[~twice], line[~twice]
+
+
 def _meet(batches):
-    """Members of the buckets of one partition that hold different lines, one of them indexed."""
-    got: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for p, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), strict=True):
-            got.setdefault(p, []).append(block)
-    while got:
-        p, blocks = got.popitem()
+    """Members of the buckets of each part, one part at a time (rows are sorted by part).
+
+    Blocks are reduced to distinct entries whenever HELD_BYTES of them, and as many as are held, have come."""
+    at, held, blocks, size = None, None, [], 0
+
+    def reduced():
         entry = np.frombuffer(b"".join(blocks), _ENTRY)
         sig = np.zeros((len(entry), 8), np.uint8)
         sig[:, :5] = np.ascontiguousarray(entry["sig"]).view(np.uint8).reshape(-1, 5)
-        sig = sig.view("<u8").reshape(-1)
-        line = entry["line"]
-        order = np.lexsort((line, sig))
-        sig, line = sig[order], line[order]
-        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (line[1:] != line[:-1])])
-        sig, line = sig[new], line[new]
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        bucket = np.cumsum(first) - 1
-        own = line >> C.U(1)
-        n_lines = np.bincount(bucket, weights=first | np.concatenate([[True], own[1:] != own[:-1]]))
-        n_index = np.bincount(bucket, weights=(line & C.U(1)).astype(np.int64))
-        ok = ((n_lines > 1) & (n_index > 0))[bucket]
-        sig, line = sig[ok], line[ok]
-        # a line that is indexed and probes one bucket stands there once, as indexed
-        twice = np.concatenate([(sig[1:] == sig[:-1]) & (line[1:] >> C.U(1) == line[:-1] >> C.U(1)), [False]]) if len(sig) else np.empty(0, bool)
-        sig, line = sig[~twice], line[~twice]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(sig), p), pa.int32()), pa.array(sig.astype(np.int64), pa.int64()), pa.array((line & ~C.U(1)).astype(np.int64), pa.int64()), pa.array((line & C.U(1)).astype(bool), pa.bool_())],
+        sig, line = sig.view("<u8").reshape(-1), entry["line"]
+        return _distinct(sig, line) if held is None else _distinct(np.concatenate([held[0], sig]), np.concatenate([held[1], line]))
+
+    def done():
+        sig, line = _shared(*reduced())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(sig), at), pa.int32()), pa.array(sig.astype(np.int64), pa.int64()), pa.array((line & ~C.U(1)).astype(np.int64), pa.int64()), pa.array((line & C.U(1)).astype(bool), pa.bool_())],
             names=["part", "sig", "line", "is_index"],
         )
 
+    for batch in batches:
+        for p, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            if p != at:
+                if blocks or held is not None:
+                    yield done()
+                at, held, blocks, size = p, None, [], 0
+            blocks.append(block)
+            size += len(block)
+            if size > max(HELD_BYTES, 0 if held is None else 16 * len(held[0])):
+                held, blocks, size = reduced(), [], 0
+    if blocks or held is not None:
+        yield done()
+
+
+def second(data: np.ndarray, start: np.ndarray, end: np.ndarray, sig: np.ndarray, part: np.ndarray, parts: int, tau: int):
+    """(line index, signature, whether it may index) of lines within one bucket each: their tau + 2 segments
+    at all shifts up to tau, without the one inside the segment that the bucket shares."""
+    line, sigs, _, own, i = signatures(data, start, end, tau, True)
+    same = ((sigs >> C.U(40)).astype(np.int64) % parts == part[line]) & ((sigs & C.U((1 << 40) - 1)) == sig[line])
+    line, own, i = np.unique(np.stack([line[same], own[same], i[same]]), axis=1)
+    pick = np.arange(len(line))
+    shared, size = (x[i, pick] for x in segments(own, tau))
+    out = []
+    for j, (s, k) in enumerate(zip(*segments(own, tau + 1), strict=True)):
+        new = (k > 0) & ((s < shared) | (s + k > shared + size))
+        for shift in range(-tau, tau + 1):
+            at = start[line] + s + shift
+            ok = np.flatnonzero(new & (at >= start[line]) & (at + k <= end[line]))
+            ok = ok[np.argsort(at[ok], kind="stable")]
+            with np.errstate(over="ignore"):
+                of = C.mix((own[ok] * 64 + i[ok] * 8 + j).astype(C.U) + sig[line[ok]] * C.P)
+                out.append((line[ok], C.mix(C.span_hash(C.BYTES[data], at[ok], at[ok] + k[ok]) ^ of), np.full(len(ok), shift == 0)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _second(parts: int, tau: int):
+    def run(batches):
+        for batch in batches:
+            for row, stop, data, at in C.chunks(batch.column("text")):
+                own = batch.slice(row, stop - row)
+                part, sig, line, is_index = (own.column(c).to_numpy(zero_copy_only=False) for c in ("part", "sig", "line", "is_index"))
+                which, sigs, index = second(data, at[:-1], at[1:], sig.astype(C.U), part.astype(np.int64), parts, tau)
+                yield pa.RecordBatch.from_arrays([pa.array(part[which]), pa.array(sigs.astype(np.int64)), pa.array(line[which]), pa.array(is_index[which] & index)], names=["part", "sig", "line", "is_index"])
+
+    return run
+
 
 def _pairs_of(rows: list[tuple], i: int, j: int, tau: int) -> tuple[list[int], list[int]]:
     """Pairs of a block that pass the count filter: one line indexed, of the two parts of the block."""
@@ -282,54 +357,69 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(texts, pa.binary())], names=["line", "text"])
 
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU, min_bytes: int = MIN_BYTES, exact_bytes: int = 1) -> DataFrame:
     """id, row_key, n_lines, removed (numbers of the lines that go, from 0); a row for each row.
 
-    exact_bytes: length from which equal lines go, at least 1; min_bytes if not given.
-    """
+    exact_bytes: length from which equal lines go, 1 at least and min_bytes at most."""
     if min_bytes <= 2 * tau:
         raise ValueError("min_bytes must exceed 2 * tau")
-    exact_bytes = min_bytes if exact_bytes is None else max(1, min(exact_bytes, min_bytes))
+    exact_bytes = max(1, min(exact_bytes, min_bytes))
     spark = C.bounded(docs)
     scratch = C.Scratch(spark, "lines")
     rows = docs.select(F.col(doc_id).alias("id"), C.row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    scanned = rows.mapInArrow(_scan(tau, exact_bytes), f"id {kind}, key long, n_lines long, line array<long>, number array<int>, bag array<long>")
+    scanned = rows.mapInArrow(_scan(tau, exact_bytes), f"id {kind}, key long, n_lines long, line array<long>, check array<long>, number array<int>, bag array<long>")
     scanned = scratch.keep(scanned, "scanned")
-    every = scanned.select("id", "key", F.explode(F.arrays_zip("line", "number", "bag")).alias("x")).select("id", "key", "x.*")
+    every = scanned.select("id", "key", F.explode(F.arrays_zip("line", "check", "number", "bag")).alias("x")).select("id", "key", "x.*")
 
     # buckets of lines that share a segment
     parts = C.parts(spark)
-    packed = rows.select("text").mapInArrow(_pack(tau, min_bytes, 4 * parts), "part int, block binary")
-    members = packed.repartition(parts, "part").mapInArrow(_meet, "part int, sig long, line long, is_index boolean")
+    n_lines = scanned.agg(F.coalesce(F.sum(F.size("line")), F.lit(0))).first()[0]
+    packs = max(4 * parts, n_lines * 2 * (tau + 1) ** 2 * _ENTRY.itemsize // PART_BYTES)  # about 2 (tau + 1)^2 signatures a line
+    packed = rows.select("text").mapInArrow(_pack(tau, min_bytes, packs), "part int, block binary")
+    members = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, "part int, sig long, line long, is_index boolean")
     members = scratch.keep(members, "members")
     involved = members.select("line").distinct()
-    first = every.groupBy("line").agg(F.min(F.struct("id", "number")).alias("first"), F.min_by("key", F.struct("id", "number")).alias("key"), F.first("bag").alias("bag"), F.count(F.lit(1)).alias("n"))
+    first = every.groupBy("line", "check").agg(F.min(F.struct("id", "number")).alias("first"), F.min_by("key", F.struct("id", "number")).alias("key"), F.first("bag").alias("bag"), F.count(F.lit(1)).alias("n"))
     first = scratch.keep(first.join(involved.withColumn("involved", F.lit(True)), "line", "left").filter("n > 1 or involved"), "first")
 
-    sizes = members.groupBy("part", "sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    spread = members.join(sizes, ["part", "sig"]).join(first.filter("involved").select("line", "bag"), "line")
+    def texts_of(lines: DataFrame, name: str) -> DataFrame:
+        """line, text, from the first occurrence."""
+        wanted = lines.distinct().join(first, "line").select("line", "key", "first.id", "first.number")
+        wanted = wanted.groupBy(F.col("id").alias("own"), "key").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
+        texts = rows.withColumnRenamed("key", "row").join(wanted.hint("merge"), (F.col("row") == F.col("key")) & F.col("id").eqNullSafe(F.col("own"))).select("text", "wanted")
+        return scratch.keep(texts.mapInArrow(_cut, "line long, text binary").dropDuplicates(["line"]), name)
+
+    sizes = scratch.keep(members.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    if sizes.filter(F.col("n") > BLOCK).isEmpty():
+        buckets = members.withColumn("blocks", F.lit(1))
+    else:
+        members = scratch.keep(C.join_each(members, sizes, ["part", "sig"]), "sized")
+        hot = members.filter(F.col("n") > BLOCK).drop("n")
+        hot = hot.join(texts_of(hot.select("line"), "hot-texts"), "line").mapInArrow(_second(packs, tau), "part int, sig long, line long, is_index boolean")
+        hot = scratch.keep(hot.groupBy("part", "sig", "line").agg(F.max("is_index").alias("is_index")), "hot")
+        again = hot.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("n"), F.max("is_index").alias("any")).filter("n > 1 and any").drop("any")
+        hot = C.join_each(hot, scratch.keep(again, "hot-sizes"), ["part", "sig"])
+        buckets = members.filter(F.col("n") <= BLOCK).unionByName(hot).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    spread = buckets.join(first.filter("involved").select("line", "bag"), "line")
     spread = spread.withColumn("own", F.pmod(F.xxhash64("line"), "blocks").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("part", "sig", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "line", "is_index", "bag", "own")
     spread = spread.repartition(parts, "part", "sig", "i", "j").sortWithinPartitions("part", "sig", "i", "j")
     pairs = scratch.keep(spread.mapInArrow(_filter_pairs(tau), "a long, b long").distinct(), "pairs")
 
-    # their texts, from the first occurrence
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct().join(first, "line")
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("line", F.col("first.number").alias("number"))).alias("wanted"))
-    texts = rows.select("key", "text").join(wanted.hint("merge"), "key").mapInArrow(_cut, "line long, text binary")
-    texts = scratch.keep(texts.dropDuplicates(["line"]), "texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("line")), "texts")
     both = pairs.join(texts.withColumnsRenamed({"line": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"line": "a", "text": "text_a"}), "a")
     links = scratch.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(tau), "a long, b long"), "links")
 
     at = first.select("line", "first")
     ends = links.join(at.withColumnsRenamed({"line": "a", "first": "at_a"}), "a").join(at.withColumnsRenamed({"line": "b", "first": "at_b"}), "b")
     later = ends.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).when(F.col("at_b") < F.col("at_a"), F.col("a")).alias("line")).filter("line is not null").distinct()
-    later = first.select("line", "first", "n").join(later.withColumn("later", F.lit(True)), "line", "left").filter("n > 1 or later")
-    gone = every.select("id", "key", "line", "number").join(later, "line")
+    later = first.select("line", "check", "first", "n").join(later.withColumn("later", F.lit(True)), "line", "left").filter("n > 1 or later")
+    gone = C.join_each(every.select("id", "key", "line", "check", "number"), scratch.keep(later, "later"), ["line", "check"])
     gone = gone.filter(F.coalesce("later", F.lit(False)) | ~F.struct("id", "number").eqNullSafe(F.col("first")))
-    gone = gone.groupBy("key").agg(F.sort_array(F.collect_set("number")).alias("removed"))
-    out = scanned.select("id", "key", "n_lines").join(gone, "key", "left")
+    gone = gone.groupBy(F.col("id").alias("own"), F.col("key").alias("row")).agg(F.sort_array(F.collect_set("number")).alias("removed"))
+    scratch.drop("members", "sizes", "sized", "hot", "hot-texts", "hot-sizes", "pairs", "texts", "links", "first")
+    out = scanned.select("id", "key", "n_lines").join(gone, F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("row")), "left")
     return out.select("id", F.col("key").alias("row_key"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
@@ -347,14 +437,10 @@ def _rebuild(batches):
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """All documents with all their columns, their text without the lines that go (it may become empty)."""
-    gone = duplicates(docs, doc_id, text, **more).select(F.col("id").alias("_id"), F.col("row_key").alias("_key"), "removed").dropDuplicates(["_id", "_key"])
-    rows = docs.withColumn("_row", C.row_key(F.col(doc_id), F.col(text)))
-    out = rows.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
-    out = out.select(*[F.col(f.name).alias("text" if f.name == text else f"c{i}") for i, f in enumerate(docs.schema)], "removed")
-    shape = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(out.columns, docs.schema, strict=False))
-    names = out.columns[:-1]
-    out = out.mapInArrow(_rebuild, shape)
-    return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, docs.schema, strict=True)])
+    gone = duplicates(docs, doc_id, text, **more).select("id", "row_key", "removed").dropDuplicates(["id", "row_key"])
+    out = C.marked(docs, gone, doc_id, text).drop("mark_key").withColumnRenamed(C.place(docs, text), "text")
+    out = out.mapInArrow(_rebuild, out.drop("removed").schema)
+    return C.named(out.withColumnRenamed("text", C.place(docs, text)), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,9 +452,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l0 AS (SELECT doc_id, i - 1 AS number, trim(ls[i], E' \t\n\r\x0b\x0c') AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-l AS (SELECT * FROM l0 WHERE strlen(line) >= 16),
+l AS (SELECT * FROM l0 WHERE line <> ''),
 f AS (SELECT line, min({'d': doc_id, 'n': number}) AS fst FROM l GROUP BY 1),
-s AS (SELECT line, fst, strlen(line) AS n, line[1:length(line) // 3] AS s1, line[length(line) // 3 + 1:2 * (length(line) // 3)] AS s2, line[2 * (length(line) // 3) + 1:] AS s3 FROM f),
+s AS (SELECT line, fst, strlen(line) AS n, line[1:length(line) // 3] AS s1, line[length(line) // 3 + 1:2 * (length(line) // 3)] AS s2, line[2 * (length(line) // 3) + 1:] AS s3 FROM f WHERE strlen(line) >= 16),
 later AS (SELECT DISTINCT b.line FROM s a JOIN s b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.fst < b.fst
     WHERE (contains(b.line, a.s1) OR contains(b.line, a.s2) OR contains(b.line, a.s3)) AND levenshtein(a.line, b.line) <= 2),
 g AS (SELECT doc_id, number FROM l JOIN f USING (line) WHERE line IN (SELECT line FROM later) OR {'d': doc_id, 'n': number} <> f.fst),

@@ -144,13 +144,13 @@ def test_line_dedup(spark, monkeypatch, block):
     for d, text in docs:
         for n, line in enumerate(text.split("\n")):
             key = line.encode().strip()
-            if len(key) >= 16:
+            if key:
                 first.setdefault(key, (d, n))
-    gone = {k for k in first if any(first[o] < first[k] and distance(o, k) <= 2 for o in first)}
+    gone = {k for k in first if len(k) >= 16 and any(len(o) >= 16 and first[o] < first[k] and distance(o, k) <= 2 for o in first)}
     want = {}
     for d, text in docs:
         keys = [line.encode().strip() for line in text.split("\n")]
-        want[d] = [n for n, k in enumerate(keys) if len(k) >= 16 and (k in gone or first[k] != (d, n))]
+        want[d] = [n for n, k in enumerate(keys) if k and (k in gone or first[k] != (d, n))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.id: r.removed for r in line_dedup.duplicates(df).collect()}
     assert got == want and any(want.values())
@@ -158,6 +158,22 @@ def test_line_dedup(spark, monkeypatch, block):
     assert cleaned == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d]) for d, t in docs}
 
 
+def test_line_dedup_hot_segment(spark):
+    """Very many lines that share a third: pairs are made only of those that share more, and none is lost."""
+    rnd = random.Random(15)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    lines = [("the same beginning: " + word(40)) for _ in range(6 * line_dedup.BLOCK)]
+    near = {}
+    for i in range(0, 600, 3):  # an edit or two behind the shared third, inside it, and one of each
+        line = list(lines[i])
+        for at in {0: [25, 50], 1: [3, 7], 2: [5, 40]}[i % 2 + (i % 5 == 0 and i % 2 == 0) * 2]:
+            line[at : at + rnd.choice([0, 1])] = rnd.choice(["", "#"])
+        near["".join(line)] = i
+    docs = [(d, "\n".join(lines[d : d + 64])) for d in range(0, len(lines), 64)] + [(10**6 + k, x) for k, x in enumerate(near)]
+    got = {r.id: r.removed for r in line_dedup.duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[d] == ([0] if d >= 10**6 else []) for d, _ in docs)
+
+
 def test_line_dedup_edges(edge, none):
     got = by_id(line_dedup.duplicates(edge), "id", "n_lines", "removed")
     assert (2, 0, []) in got and (3, 0, []) in got and (4, 3, []) in got
