@@ -14,13 +14,18 @@ has no bound; a shard is the pieces of one anchor.
      twice. Windows of at least WINDOW matched words repeat;
   4. the words covered by repeated windows go.
 
-Skew: counts are partial aggregations and equal pieces collapse before they meet. An anchor
-with more than HOT distinct pieces is not gathered: its windows are hashed and counted in
-the same way (64 bits), whatever their number.
+Skew: counts are partial aggregations, equal pieces collapse before they meet, and the hottest
+anchors and pieces are joined back by broadcast. An anchor with more than HOT distinct pieces
+is not gathered: its windows are counted by their words, as rows, whatever their number. HOT
+bounds the memory of an automaton and doesn't show in the result.
+
+Equal pieces are those with equal anchor and content hashes (128 bits); everything else is
+compared word by word. Rows are told apart by a 64-bit hash of id and text.
 
 Defined results: null text has no words; documents of fewer words than a window keep all;
 rows repeated under one id count as separate occurrences, so their windows go from both;
-null ids are ids like others; an empty table gives none; extra columns are ignored.
+null ids are ids like others; an empty table gives none; extra columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, GRAM, HOT = 35, 8, 20_000
+WINDOW, GRAM, HOT = 35, 8, 2000
 
 
 def pieces(w: C.Words, hashes: np.ndarray, window: int, gram: int):
@@ -80,7 +85,7 @@ def _scan(window: int, gram: int):
                         pa.array(w.counts.astype(np.int64)),
                         pa.array(digest),
                         lists((start - w.first[doc]).astype(np.int32), pa.int32()),
-                        lists(count.astype(np.int8), pa.int8()),
+                        lists(count.astype(np.int32), pa.int32()),
                         lists(anchor.astype(np.int64), pa.int64()),
                         lists(content.astype(np.int64), pa.int64()),
                     ],
@@ -211,18 +216,18 @@ def _cut(window: int):
     return cut
 
 
-def _window_hashes(window: int):
-    def hashes(batches):
-        for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
+def _windows(window: int):
+    """The windows of pieces, as rows."""
+
+    def windows(batches):
+        for batch in C.small(batches):
+            out: list[tuple[int, int, int, int, bytes]] = []
             for h, c, n, words in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "n", "words")), strict=True):
-                data = np.frombuffer(words, np.uint8)
-                w = C.Words(data, np.array([0, len(data)]))
-                g, _ = w.grams(w.hashes(), window, 33)
-                out += [(h, c, n, i, x) for i, x in enumerate(g.astype(np.int64).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(),) * 3 + (pa.int32(), pa.int64()))], names=["h", "c", "n", "at", "g"])
+                own = words.split(b" ")
+                out += [(h, c, n, i, b" ".join(own[i : i + window])) for i in range(len(own) - window + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(),) * 3 + (pa.int32(), pa.binary()))], names=["h", "c", "n", "at", "g"])
 
-    return hashes
+    return windows
 
 
 def _remove(batches):
@@ -247,20 +252,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     scratch = C.Scratch(spark, "substrings")
     rows = docs.select(F.col(doc_id).alias("id"), C.row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    shape = f"id {kind}, key long, n_words long, digest string, start array<int>, count array<tinyint>, h array<long>, c array<long>"
+    shape = f"id {kind}, key long, n_words long, digest string, start array<int>, count array<int>, h array<long>, c array<long>"
     scanned = scratch.keep(rows.mapInArrow(_scan(window, gram), shape), "scanned")
 
     every = scanned.select("key", F.explode(F.arrays_zip("h", "c", "start", "count")).alias("p")).select("key", "p.*")
-    twice = every.groupBy("h").agg(F.count(F.lit(1)).alias("n_h")).filter("n_h > 1").select("h")
-    found = scratch.keep(every.join(twice, "h"), "found")
+    twice = scratch.keep(every.groupBy("h").agg(F.count(F.lit(1)).alias("n_h")).filter("n_h > 1"), "twice")
+    found = scratch.keep(C.join_each(every, twice, ["h"], "n_h").drop("n_h"), "found")
     kinds = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "count")).alias("first"))
     kinds = scratch.keep(kinds, "kinds")
-    whole = found.join(kinds.filter("n > 1").select("h", "c"), ["h", "c"])
+    whole = C.join_each(found, kinds.filter("n > 1").select("h", "c", "n"), ["h", "c"])
     spans = whole.select("key", "start", (F.col("start") + F.col("count") + (window - 1)).alias("end"))
 
     # anchors with different pieces: one copy of each goes to the anchor's automaton
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    mixed = kinds.join(mixed, "h").select("h", "c", "n", (F.col("kinds") > hot).alias("hot"), "first.key", "first.start", "first.count")
+    mixed = scratch.keep(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "mixed-anchors")
+    mixed = C.join_each(kinds, mixed, ["h"], "kinds").select("h", "c", "n", (F.col("kinds") > hot).alias("hot"), "first.key", "first.start", "first.count")
     mixed = scratch.keep(mixed, "mixed")
     wanted = mixed.groupBy("key").agg(F.collect_list(F.struct("h", "c", "n", "hot", "start", "count")).alias("wanted"))
     # the texts of documents with a repeated anchor, once
@@ -270,9 +275,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     cut = scratch.keep(cut, "cut")
     shards = cut.filter("not hot").repartition(C.parts(spark), "h").sortWithinPartitions("h").select("h", "c", "n", "words")
     some = shards.mapInArrow(_automata(window), "h long, c long, starts array<int>")
-    hashed = cut.filter("hot").select("h", "c", "n", "words").mapInArrow(_window_hashes(window), "h long, c long, n long, at int, g long")
-    often = hashed.groupBy("g").agg(F.sum("n").alias("total")).filter("total > 1").select("g")
-    many = hashed.filter("n = 1").join(often, "g").groupBy("h", "c").agg(F.collect_list("at").alias("starts"))
+    windows = cut.filter("hot").select("h", "c", "n", "words").mapInArrow(_windows(window), "h long, c long, n long, at int, g binary")
+    often = scratch.keep(windows.groupBy("g").agg(F.sum("n").alias("total")).filter("total > 1"), "often")
+    many = C.join_each(windows.filter("n = 1"), often, ["g"], "total").groupBy("h", "c").agg(F.collect_list("at").alias("starts"))
     single = some.unionByName(many).join(mixed.filter("n = 1").select("h", "c", "key", "start"), ["h", "c"])
     single = single.select("key", "start", F.explode("starts").alias("at"))
     spans = spans.union(single.select("key", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + window).alias("end")))

@@ -182,11 +182,10 @@ def test_line_dedup_edges(edge, none):
     assert line_dedup.clean(edge).columns == edge.columns and line_dedup.clean(edge).count() == len(EDGE)
 
 
-@pytest.mark.parametrize("hot", [0, substrings.HOT])
-def test_substrings(spark, hot):
-    texts = [*corpus(6, 5, 8), *corpus(7, 5, 8), None, "", "one two " * 60, "a " * 34, "b " * 35, "c " * 36]
+@pytest.mark.parametrize(("hot", "size"), [(0, 35), (1, 35), (substrings.HOT, 35), (substrings.HOT, 200)])
+def test_substrings(spark, hot, size):
+    texts = [*corpus(6, 5, 8), *corpus(7, 5, 8), None, "", "one two " * 60, "a " * 34, "b " * 35, "c " * 36, *[" ".join(f"w{i}" for i in range(600))] * 2]
     docs = list(enumerate(texts)) + [(0, texts[0])]
-    size = 35
     places = {}
     for k, (_, t) in enumerate(docs):
         w = (t or "").split()
@@ -199,7 +198,7 @@ def test_substrings(spark, hot):
         kept = " ".join(x for i, x in enumerate(w) if i not in hit)
         want.append((d, len(w), len(hit), hashlib.sha256(kept.encode()).hexdigest()))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert by_id(substrings.dedup(df, hot=hot), "id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=str)
+    assert by_id(substrings.dedup(df, hot=hot, window=size), "id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=str)
 
 
 def test_suffix_automaton():
