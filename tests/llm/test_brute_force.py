@@ -242,18 +242,37 @@ def test_quality_line_frequency(spark):
     assert cleaned[1] == docs[1][1].split("\n")[1] and cleaned[200] == docs[-1][1]
 
 
-def test_decontamination(spark, edge, none, monkeypatch):
+def test_decontamination(spark, edge, none):
     items = spark.createDataFrame([(7, "A b C d e f g h i j K"), (70, "TWO... words"), (8, ""), (9, None)], "item_id long, text string")
-    for size in (decontaminate.BLOCK_BYTES, 8):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
-        got = by_id(decontaminate.contaminated(edge, items), "id", "n_words", "n_hit", "items", "contaminated")
+    for bits in (decontaminate.SCREEN_BITS, 6):  # a bitmap that lets nearly all through changes nothing
+        got = by_id(decontaminate.contaminated(edge, items, screen_bits=bits), "id", "n_words", "n_hit", "items", "contaminated")
         assert got.count((1, 18, 11, ["7"], True)) == 2 and (7, 2, 2, ["70"], True) in got and (2, 0, 0, [], False) in got
-        assert len(got) == len(EDGE) and decontaminate.contaminated(none, items).count() == 0
-        assert decontaminate.contaminated(edge, items.limit(0)).filter("contaminated").count() == 0
+    assert len(got) == len(EDGE) and decontaminate.contaminated(none, items).count() == 0
+    assert decontaminate.contaminated(edge, items.limit(0)).filter("contaminated").count() == 0
     assert sorted(str(r.doc_id) for r in decontaminate.clean(edge, items).collect()) == ["2", "3", "4", "5", "6"]
     assert decontaminate.clean(edge, items).columns == edge.columns
 
 
+@pytest.mark.parametrize("bits", [6, decontaminate.SCREEN_BITS])
+def test_decontamination_random(spark, bits):
+    """Windows of all lengths over few words, against brute force; one word stands in most items and documents."""
+    rnd = random.Random(16)
+    word = lambda: rnd.choice(["the", "The,", "a", "b", "c", "d", "é", "x9"])
+    items = [(i, " ".join(word() for _ in range(rnd.choice([1, 2, 3, 4, 7, 12])))) for i in range(25)]
+    docs = [(d, " ".join(rnd.choice([word(), rnd.choice(items)[1]]) for _ in range(rnd.randrange(12)))) for d in range(120)]
+    want = []
+    for d, t in docs:
+        ws, hit, found = decontaminate.words(t.encode()), set(), set()
+        for i, x in items:
+            for w in decontaminate.windows(decontaminate.words(x.encode()), 5):
+                at = [s for s in range(len(ws) - len(w) + 1) if tuple(ws[s : s + len(w)]) == w]
+                hit |= {s + k for s in at for k in range(len(w))}
+                found |= {str(i)} if at else set()
+        want.append((d, len(ws), len(hit), sorted(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
+    got = decontaminate.contaminated(*(spark.createDataFrame(x, f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id"))), size=5, screen_bits=bits)
+    assert sorted((r.id, r.n_words, r.n_hit, sorted(r["items"]), r.items_sha256) for r in got.collect()) == want
+
+
 def reference_encoding():
     import base64
 
