@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch, for texts; taken only where the session has no setting of its own.
 BATCH_ROWS = 512
+#: Rows that one key may gather in a task of a join, at any size.
+HOT_ROWS = 100
 
 U = np.uint64
 
@@ -108,16 +110,20 @@ def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def join_each(rows: DataFrame, each: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+def join_each(rows: DataFrame, each: DataFrame, on: list[str], n: str = "n", least: int = HOT_ROWS) -> DataFrame:
     """rows joined with `each`, a written table with one row for each key and n, about the number of its rows.
 
     Keys with more than 1 / (4 * shuffle partitions) of all n, fewer than 4 * shuffle partitions
-    by their definition, meet their rows by broadcast; all others by shuffle. So no key, however
-    hot, gathers its rows in one task, and what is broadcast does not grow with the data."""
-    total = each.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    hot = F.col(n) * (4 * parts(rows.sparkSession)) > total
+    by their definition, and more than `least`, meet their rows by broadcast; all others by
+    shuffle. So no key, however hot, gathers its rows in one task, and what is broadcast does
+    not grow with the data."""
+    share = 4 * parts(rows.sparkSession)
+    total, most = each.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    if most <= least or most * share <= total:
+        return rows.join(each, on)
+    hot = (F.col(n) > least) & (F.col(n) * share > total)
     many, few = each.filter(hot), each.filter(~hot)
-    rest = rows.join(F.broadcast(many.select(*on)), on, "left_anti")
+    rest = rows.join(F.broadcast(many.select(*on).distinct()), on, "left_anti")
     return rows.join(F.broadcast(many), on).unionByName(rest.join(few, on))
 
 

@@ -8,30 +8,33 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-def _min_neighbour(edges: DataFrame, column: str = "m") -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias(column))
-
-
 def components(edges: DataFrame, scratch: C.Scratch, name: str) -> DataFrame:
     """node, component (the smallest node reachable) of every node of edges (a, b); a loop-free table of links.
 
     Each step writes its edges to the shared folder, so lineage stays short. Minima are
-    partial aggregations; a node with very many links is only skewed in the join back, which
-    adaptive execution splits.
+    partial aggregations, written before they are joined back, the nodes with most links by
+    broadcast (common.join_each).
     """
     links = edges.filter("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
     links = scratch.keep(links, f"{name}-0")
     state = lambda t: t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before, step = state(links), 0
+
+    def with_least(rows: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+        """Rows with m, the least neighbour of u, and the table of u and m."""
+        least = scratch.keep(rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-{what}-{step}")
+        return C.join_each(rows, least, ["u"]), least
+
     while before[0]:
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _min_neighbour(both).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = _min_neighbour(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         step += 1
+        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large, _ = with_least(both, "large")
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+        large = scratch.keep(large, f"{name}-star-{step}")
+        small, low = with_least(large, "small")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         links = scratch.keep(small.filter("u <> v").distinct(), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}") if step > 1 else None
+        scratch.drop(f"{name}-large-{step}", f"{name}-star-{step}", f"{name}-small-{step}", f"{name}-{step - 1}")
         after = state(links)
         if after == before:
             break

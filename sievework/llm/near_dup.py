@@ -18,14 +18,23 @@ behind the element that they share, are dropped, and the rest is confirmed. That
 members are compared with the bucket's own leader in the same way. So no link that the
 bands find is lost, and a group of copies costs one comparison each.
 
+The estimate decides whether a member is linked to its leader and which of the other pairs are
+confirmed. The members' differences from their leader are needed whatever it says.
+
+Skew: classes, leaders and elements that very many rows share are joined back by broadcast
+(common.join_each); all other joins are shuffles of tables on both sides.
+
 Defined results: null text, empty text or text without words has an empty set and stands
-alone; fewer words than a shingle count as one shingle; a row with null id takes the
-component of an equal set that has an id and is not kept, else its component is null and it
-is kept; rows repeated under one id get the same component; an empty table gives none;
-extra columns are ignored.
+alone; fewer words than a shingle count as one shingle; rows with null id are linked like
+others, take the component of the smallest id that they reach and are not kept if there is
+one, else their component is null and the rows of one of their texts are kept; rows repeated
+under one id get the same component, and an id that stands on rows of different texts joins
+theirs; an empty table gives none; extra columns, whatever their names, are ignored by group()
+and returned by clean().
 
 With 25 bands of 4 rows a pair at similarity 0.85 is missed with probability 1e-8, at 0.8
-with 2e-6; the estimate drops a pair at the threshold with probability below 1e-4.
+with 2e-6. The estimate drops a pair that shares a band with less: of simulated pairs at the
+threshold none of ten million at 0.85 and at 0.8 was SLACK below it.
 """
 
 from __future__ import annotations
@@ -38,7 +47,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-BANDS, ROWS, BITS, SLACK = 25, 4, 512, 0.16
+BANDS, ROWS, BITS, SLACK = 25, 4, 512, 0.28
 SAMPLES = BANDS * ROWS
 SHINGLE, PERCENT = 5, 80
 _A, _B, _C = C.seeded(SAMPLES, 11) | C.U(1), C.seeded(SAMPLES, 12), C.seeded(ROWS, 13) | C.U(1)
@@ -177,26 +186,32 @@ def _differ(k: int, percent: int, limit: int):
 
 
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """id, row_key, n_shingles, component, kept; a row for each row. Links at 100 * common >= percent * union."""
+    """id, row_key, n_shingles, component, kept; a row for each row. Links at 100 * common >= percent * union.
+
+    The representative of a class, `rep`, is the least (id is null, id, row key) of its rows."""
     spark = C.bounded(docs)
     scratch = C.Scratch(spark, "near-dup")
     rows = docs.select(F.col(doc_id).alias("id"), C.row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"id {kind}, row_key long, n_shingles long, f1 long, f2 long, bands array<long>, odd binary"
     sketched = scratch.keep(rows.mapInArrow(_sketch(shingle), shape), "sketched")
+    kind = f"struct<none:boolean,id:{kind},key:bigint>"
+    fingerprint = ["f1", "f2", "n_shingles"]
 
-    full = sketched.filter("n_shingles > 0 and id is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("id", "row_key")).alias("r"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
-    classes = scratch.keep(classes.select("f1", "f2", "n_shingles", F.col("r.id").alias("rep"), F.col("r.row_key").alias("rep_key"), "bands", "odd"), "classes")
+    full = sketched.filter("n_shingles > 0")
+    rep = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row_key").alias("key"))
+    classes = full.groupBy(*fingerprint).agg(F.min(rep).alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.keep(classes, "classes")
 
     # members of buckets that hold more than one class
-    band = classes.select(F.explode("bands").alias("bucket"), "rep")
-    shared = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = scratch.keep(band.join(shared, "bucket").distinct(), "members")
+    band = classes.select(F.explode("bands").alias("bucket"), "rep").distinct()
+    shared = scratch.keep(band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    members = scratch.keep(C.join_each(band, shared, ["bucket"]), "members")
     score = members.groupBy("rep").agg(F.sum("n").alias("score"))
-    involved = scratch.keep(score.join(classes.select("rep", "rep_key", "odd").dropDuplicates(["rep"]), "rep"), "involved")
-    wanted = involved.select(F.col("rep").alias("id"), F.col("rep_key").alias("row_key"))
-    texts = scratch.keep(rows.join(wanted.hint("merge"), ["id", "row_key"]).dropDuplicates(["id", "row_key"]).select("id", "text"), "texts")
+    involved = scratch.keep(score.join(classes.select("rep", "odd"), "rep"), "involved")
+    wanted = involved.select("rep", F.col("rep.id").alias("own_id"), F.col("rep.key").alias("own_key"))
+    texts = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("row_key") == F.col("own_key")))
+    texts = scratch.keep(texts.select("rep", "text").dropDuplicates(["rep"]), "texts")
     limit = most_bits(percent / 100 - SLACK)
 
     odd = involved.select("rep", "odd")
@@ -207,7 +222,7 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         return near.withColumn("different", _xor_bits("odd_a", "odd_b")).drop("odd_a", "odd_b")
 
     def with_texts(pairs: DataFrame, *more: str) -> DataFrame:
-        both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+        both = pairs.join(texts.withColumnsRenamed({"rep": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"rep": "b", "text": "text_b"}), "b")
         return both.select("a", "b", "text_a", "text_b", *more)
 
     edges = []
@@ -219,33 +234,42 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         edges.append(pairs.filter("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
         return pairs
 
+    def groups_of(pairs: DataFrame, name: str) -> DataFrame:
+        """leader, size, alone: whether a member doesn't link."""
+        return scratch.keep(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.max(~F.col("linked")).alias("alone")), name)
+
     def central(pairs: DataFrame, step: int) -> DataFrame:
         """Groups with members that don't link, under the member nearest to what most of the group has.
 
         What more than half of the members differ by from their leader is the leader's own oddity; the
         member whose differences are nearest to it takes over, so that the shared oddity is small."""
-        pairs = pairs.join(pairs.filter("not linked").select("leader").distinct(), "leader")
-        around = pairs.select("leader", "rep", F.explode("differs").alias("e"))
-        sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-        odd_ones = around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("times")).join(sizes.filter("size > 2"), "leader").filter("times * 2 > size")
-        odd_ones = scratch.keep(odd_ones.select("leader", "e"), f"odd-{step}")
-        hits = around.join(odd_ones, ["leader", "e"]).groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("hits"))
-        own = odd_ones.groupBy("leader").agg(F.count(F.lit(1)).alias("c"))
-        near = pairs.select("leader", "rep", F.size("differs").alias("x")).join(own, "leader").join(hits, ["leader", "rep"], "left")
+        groups = groups_of(pairs, f"sizes-{step}")
+        if groups.filter("alone").isEmpty():
+            return pairs
+        own = scratch.keep(C.join_each(pairs, groups.filter("alone").select("leader", "size"), ["leader"], "size"), f"alone-{step}")
+        around = own.select("leader", "rep", "size", F.explode("differs").alias("e"))
+        odd_ones = around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("times"), F.first("size").alias("size")).filter("size > 2 and times * 2 > size")
+        odd_ones = scratch.keep(odd_ones, f"odd-{step}")
+        hits = C.join_each(around.drop("size"), odd_ones, ["leader", "e"], "times").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("hits"))
+        odd_count = scratch.keep(odd_ones.groupBy("leader").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size")), f"odd-count-{step}")
+        near = C.join_each(own.select("leader", "rep", F.size("differs").alias("x")), odd_count, ["leader"], "size").join(hits, ["leader", "rep"], "left")
         best = near.groupBy("leader").agg(F.min(F.struct((F.col("x") + F.col("c") - 2 * F.coalesce("hits", F.lit(0))).alias("x"), "rep")).alias("best"), F.first("c").alias("c"))
         moved = scratch.keep(best.filter("best.x < c").select("leader", F.col("best.rep").alias("best")), f"moved-{step}")
-        group = pairs.select("leader", "rep").join(moved, "leader").select("rep", F.col("best").alias("leader"))
+        flagged = scratch.keep(groups.select("leader", "size").join(moved, "leader", "left"), f"flagged-{step}")
+        flagged = C.join_each(pairs, flagged, ["leader"], "size").drop("size")
+        group = flagged.filter("best is not null").select("rep", F.col("best").alias("leader"))
         group = group.union(moved.select(F.col("leader").alias("rep"), F.col("best").alias("leader"))).filter("rep <> leader")
-        return pairs.join(moved, "leader", "left_anti").select("rep", "leader", "linked", "n", "must", "least", "differs").unionByName(compared(group, f"central-{step}"))
+        stay = flagged.filter("best is null").select("rep", "leader", "linked", "n", "must", "least", "differs")
+        return stay.unionByName(compared(group, f"central-{step}"))
 
     def examined(led: DataFrame, step: int) -> None:
         """Compares rows of rep and leader, and what doesn't link with the others of its leader."""
         pairs = scratch.keep(central(compared(led, f"pairs-{step}"), step), f"groups-{step}")
 
-        alone = pairs.filter("not linked").select("leader").distinct()
-        around = pairs.join(alone, "leader").select("leader", "rep", "linked", "n", "must", "least", F.size("differs").alias("x"), F.explode("differs").alias("e"))
-        shared = around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-        around = around.join(shared, ["leader", "e"]).groupBy("leader", "rep").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"), *[F.first(c).alias(c) for c in ("linked", "n", "must", "least", "x")])
+        alone = groups_of(pairs, f"examined-{step}").filter("alone").select("leader", "size")
+        around = C.join_each(pairs, alone, ["leader"], "size").select("leader", "rep", "linked", "n", "must", "least", F.size("differs").alias("x"), F.explode("differs").alias("e"))
+        shared = scratch.keep(around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), f"shared-{step}")
+        around = C.join_each(around, shared, ["leader", "e"], "times").groupBy("leader", "rep").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"), *[F.first(c).alias(c) for c in ("linked", "n", "must", "least", "x")])
         around = scratch.keep(around.withColumn("k", F.size("es")), f"around-{step}")
         # Two sets with t common elements have one among the size - t + 1 rarest of each, and the first
         # one that they share has t - 1 others behind it. Elements that stand nowhere else are gone already.
@@ -264,28 +288,35 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
     # the best leader that a member meets in any bucket; it settles buckets whose members have no other
     own = members.select("bucket", "rep").join(involved.select("rep", (-F.col("score")).alias("rank")), "rep")
-    tops = own.groupBy("bucket").agg(F.min(F.struct("rank", "rep")).alias("top"))
-    homes = own.join(tops, "bucket").groupBy("rep").agg(F.min("top").alias("top")).select("rep", F.col("top.rep").alias("leader"))
+    tops = scratch.keep(own.groupBy("bucket").agg(F.min(F.struct("rank", "rep")).alias("top"), F.count(F.lit(1)).alias("n")), "tops")
+    homes = C.join_each(own, tops, ["bucket"]).groupBy("rep").agg(F.min("top").alias("top")).select("rep", F.col("top.rep").alias("leader"))
     homes = scratch.keep(homes, "homes")
     examined(homes.filter("rep <> leader"), 0)
     mixed = own.join(homes, "rep").groupBy("bucket").agg(F.min("leader").alias("x"), F.max("leader").alias("y")).filter("x <> y").select("bucket")
-    led = own.join(mixed, "bucket").join(tops.select("bucket", F.col("top.rep").alias("leader")), "bucket").filter("rep <> leader").select("rep", "leader").distinct()
-    led = led.join(homes, ["rep", "leader"], "left_anti")
-    examined(led.union(homes.join(led.select("leader").distinct(), "leader").filter("rep <> leader").select("rep", "leader")), 1)
+    mixed = scratch.keep(mixed.join(tops, "bucket").select("bucket", F.col("top.rep").alias("leader"), "n"), "mixed")
+    led = C.join_each(own, mixed, ["bucket"]).filter("rep <> leader").select("rep", "leader").distinct()
+    led = scratch.keep(led.join(homes, ["rep", "leader"], "left_anti"), "led")
+    again = homes.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(led.select("leader").distinct(), "leader")
+    again = C.join_each(homes, scratch.keep(again, "again"), ["leader"]).filter("rep <> leader").select("rep", "leader")
+    examined(led.union(again), 1)
     links = edges[0]
     for more in edges[1:]:
         links = links.unionByName(more)
     part = components(links, scratch, "all")
 
     # an id that stands on rows of different sets joins their components
-    own = sketched.select("id", "row_key", "n_shingles", "f1", "f2").join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left")
-    own = scratch.keep(own, "own")
-    twice = own.filter("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("reps")).filter("a <> z")
+    own = scratch.keep(C.join_each(full.select("id", "row_key", *fingerprint), classes.select(*fingerprint, "rep", "n"), fingerprint).select("id", "row_key", "n_shingles", "rep"), "own")
+    twice = own.filter("id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("n")).filter("a <> z")
+    twice = scratch.keep(twice, "twice")
     if not twice.isEmpty():
-        part = components(links.union(twice.select("a", F.explode("reps").alias("b")).filter("a <> b")), scratch, "ids")
-    out = own.join(part.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id")))
-    return out.select("id", "row_key", "n_shingles", "component", (F.col("id").eqNullSafe(F.col("component"))).alias("kept"))
+        same = C.join_each(own.select("id", F.col("rep").alias("b")), twice, ["id"]).select("a", "b").filter("a <> b")
+        part = components(links.union(same), scratch, "ids")
+    part = classes.select("rep", "n").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    part = scratch.keep(part, "part")
+    out = C.join_each(own, part, ["rep"])
+    first = F.when(F.col("component.none"), F.col("row_key") == F.col("component.key")).otherwise(F.col("id").eqNullSafe(F.col("component.id")))
+    out = out.select("id", "row_key", "n_shingles", F.col("component.id").alias("component"), first.alias("kept"))
+    return out.unionByName(sketched.filter("n_shingles = 0").select("id", "row_key", "n_shingles", F.col("id").alias("component"), F.lit(True).alias("kept")))
 
 
 def _xor_bits(a: str, b: str):
@@ -299,10 +330,9 @@ def _xor_bits(a: str, b: str):
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """One document of each group, the smallest id, with all its columns."""
-    kept = group(docs, doc_id, text, **more).filter("kept").select(F.col("id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    rows = docs.withColumn("_row", C.row_key(F.col(doc_id), F.col(text)))
-    out = rows.join(kept.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
-    return out.dropDuplicates(["_id", "_key"]).select(docs.columns)
+    kept = group(docs, doc_id, text, **more).filter("kept").select("id", "row_key").distinct()
+    out = C.marked(docs, kept, doc_id, text)
+    return C.named(out.dropDuplicates([C.place(docs, doc_id), "mark_key"]), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,15 @@ def corpus(seed, n_groups=6, size=12, vocabulary=800):
     return out
 
 
+@pytest.mark.parametrize("least", [0, 5, 10**6])
+def test_join_each(spark, least):
+    """Hot keys by broadcast and others by shuffle make one join."""
+    rows = [(k, i) for k, n in enumerate([0, 1, 2, 50, 300]) for i in range(n)] + [(99, 0), (None, 1)]
+    each = spark.createDataFrame([(k, n, f"k{k}") for k, n in enumerate([0, 1, 2, 50, 300])], "k int, n long, name string")
+    got = common.join_each(spark.createDataFrame(rows, "k int, i int"), each, ["k"], least=least)
+    assert sorted((r.k, r.i, r.name) for r in got.collect()) == sorted((k, i, f"k{k}") for k, i in rows if k not in (99, None))
+
+
 def test_near_dup(spark):
     texts = [*corpus(1), *corpus(2), "a b", "A  b", "c", "", None, "a b c", "x y z x y z"]
     sets = []
@@ -85,6 +94,16 @@ def test_near_dup(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in range(len(texts)) if find(i) == i)
 
 
+def test_near_dup_ids(spark):
+    """Null ids are linked too, an id joins the groups of all its texts, and one id on many texts is no cost."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("a") + " x"), (None, text("b")), (None, text("b") + " x"), (9, text("b") + " y"), (8, text("c")), (8, text("d")), (7, text("d") + " z"), (6, text("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.component, r.kept) for r in sorted(near_dup.group(df).join(df.withColumn("row_key", common.row_key(df.doc_id, df.text)).withColumnsRenamed({"doc_id": "own"}), "row_key").collect(), key=lambda r: rows.index((r.id, r.text)))]
+    assert sorted(got[:2], key=str) == [(None, False), (None, True)] and got[2:] == [(9, False), (9, False), (9, True), (7, False), (7, False), (7, True), (6, True)]
+    assert sorted(str(r.doc_id) for r in near_dup.clean(df).collect()) == ["6", "7", "9", "None"]
+
+
 def test_near_dup_edges(edge, none):
     got = by_id(near_dup.group(edge), "id", "n_shingles", "component", "kept")
     assert (2, 0, 2, True) in got and (3, 0, 3, True) in got and (4, 0, 4, True) in got
