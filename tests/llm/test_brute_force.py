@@ -479,13 +479,13 @@ def test_url_siblings(spark, siblings):
 
 
 def test_url_depths(spark):
-    """Variable words merge at any depth, though each has one label."""
+    """Variable words merge at any depth, though each has one label; a url that none names inherits what its branch shows."""
     word = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}x"
     rows = [("a.org", f"/shop/{word(i)}/item", True) for i in range(20)] + [("a.org", f"/news/{word(i)}/item", False) for i in range(20)]
     rows += [("b.org", f"/a/{word(i)}/b/{word(i * 7 % 40)}/c/{word(i // 2)}/{i}", i % 10 > 0) for i in range(40)] + [("b.org", "/a/other/b", None)]
     t = urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean"))
     got = {(r.host, r.template): r.rejected for r in t.collect()}
-    assert all(got["a.org", f"shop/{word(i)}/item"] and not got["a.org", f"news/{word(i)}/item"] for i in range(20)) and not got["b.org", "a/other/b"]
+    assert all(got["a.org", f"shop/{word(i)}/item"] and not got["a.org", f"news/{word(i)}/item"] for i in range(20)) and got["b.org", "a/other/b"]  # nine of ten labels below /a/ are bad
 
 
 @pytest.mark.parametrize("shard", [8, 400])
@@ -520,3 +520,27 @@ def test_quality_large_host(spark):
     got = {r.id: (r.n_words, r.n_left) for r in quality.judge(df, max_repeat=100).collect()}
     assert all(got[i] == ((66, 60) if i < 20 else (60, 60)) for i in range(400))
     assert all(got[1000 + i] == (72, 0) for i in range(20)) and got[2000] == (72, 72)
+
+
+def test_url_inheritance(spark):
+    """Templates without labels take the purity to expect at the deepest node that they reach, by wildcards too."""
+    word = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}x"
+    rows = [("a.org", f"/shop/{word(i)}/item", True) for i in range(20)] + [("a.org", f"/news/{word(i)}/item", False) for i in range(20)]
+    rows += [("a.org", p, None) for p in ("/shop/zzz/item", "/shop/zzz/other/deep", "/shop/zzz/item/more", "/news/zzz/item", "/else", "")]
+    rows += [("c.org", f"/{word(k)}/x/{'d/' * k}{i}", True) for k in range(12) for i in range(8)] + [("c.org", "/y", None), ("d.org", "/x/1", None)]
+    got = {(r.host, r.template): (r.merged, r.purity, r.rejected) for r in urls.templates(spark.createDataFrame(rows, "host string, path string, bad boolean")).collect()}
+    below = lambda above, *shares: (sum(shares) + 4 * above) / (len(shares) + 4)
+    host = below(0.2, 1, 0)
+    shop = below(host, 1)
+    some = below(shop, 1)
+    want = {"shop/zzz/item": ("shop/?/item", (20 + 4 * some) / 24), "shop/zzz/other/deep": ("shop/?", some), "shop/zzz/item/more": ("shop/?/item", below(some, 1)), "else": ("", host), "": ("", host)}
+    assert all(got["a.org", t][0] == m and abs(got["a.org", t][1] - p) < 1e-9 for t, (m, p) in want.items())
+    assert got["a.org", "shop/zzz/item"][2] and not got["a.org", "news/zzz/item"][2] and got["a.org", "shop/aax/item"] == got["a.org", "shop/zzz/item"]
+    assert got["c.org", "y"][2] and got["d.org", "x/{n}"] == ("", 0.2, False)
+
+
+def test_url_edges(spark):
+    """Very long urls and paths, and extra columns with the operator's own names."""
+    rows = [(1, "http://h.org/" + "a/" * 300 + "1", "x"), (2, "http://h.org/" + "b" * 200_000, "y"), (3, None, None), (3, None, None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id int, url string, host string").withColumnsRenamed({"host": "template"}))
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3, 3] and {r.verdict for r in got.collect()} == {"allow"}
