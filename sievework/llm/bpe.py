@@ -5,11 +5,13 @@ bucketed by byte length into padded numpy matrices of token ids. Each round look
 neighbouring pairs in an open-addressing hash table, every row merges its leftmost pair of
 least rank, and rows are compacted; rows without a pair leave. Encoded pieces are kept in a
 worker's table, emptied when it holds CACHE_PIECES pieces or CACHE_IDS ids, so that memory is
-bounded. Ids of a run of documents, their decimals and their bytes are gathered from flat
+bounded. A piece of more than LONG bytes would take a round of that width for each of its merges;
+it makes the same merges in the same order with a heap instead. Ids of a run of documents, their decimals and their bytes are gathered from flat
 tables.
 
 Defined results: null text is empty and has no tokens; lone invalid ids raise on decoding;
-repeated rows each get their row; empty tables work; extra columns are ignored.
+repeated rows each get their row; empty tables work; extra columns are kept, and one with the
+name of an output column gets `_given` behind its name.
 """
 
 from __future__ import annotations
@@ -35,9 +37,10 @@ _loaded: dict[tuple[str, str], Codec] = {}
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, long: int = LONG):
         import regex
 
+        self.long = long
         self.split = regex.compile(pattern).findall
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -177,7 +180,7 @@ class Codec:
         data = np.frombuffer(b"".join(raw), np.uint8)
         whole = np.fromiter((self.ranks.get(t, PAD) for t in raw), np.int32, len(raw))
         found = [(np.flatnonzero(whole != PAD), whole[whole != PAD], None)]
-        bucket = np.where(whole != PAD, 0, np.where(size > LONG, -1, (size + 3) // 4 * 4))
+        bucket = np.where(whole != PAD, 0, np.where(size > self.long, -1, (size + 3) // 4 * 4))
         for i in np.flatnonzero(bucket == -1):
             ids = self.long_piece(raw[i])
             found.append((np.array([i]), ids, np.array([len(ids)])))
@@ -283,7 +286,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, p
     shape = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep)))
     shape += (", " if keep else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     out = rows.mapInArrow(_encode(path, pattern, with_ids), shape)
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed(C.beside(keep, out.columns[len(keep) :]))
 
 
 def _decode(path: str, pattern: str):
@@ -305,7 +308,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern:
     cut = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(ids).alias("ids"))
     shape = "".join(f"c{i} {cut.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(keep))) + "bytes binary"
     out = cut.mapInArrow(_decode(str(path or given[0]), pattern or given[1]), shape)
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed(C.beside(keep, out.columns[len(keep) :]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,20 @@ def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+def beside(keep: list[str], outputs: list[str]) -> dict[str, str]:
+    """c0, c1, ... and the names of kept columns beside an operator's outputs: one that has the name of an
+    output gets _given behind it, until it clashes with none."""
+    taken, out = {c.lower() for c in [*keep, *outputs]}, {}
+    for i, c in enumerate(keep):
+        name = c
+        if c.lower() in {o.lower() for o in outputs}:
+            while name.lower() in taken:
+                name += "_given"
+            taken.add(name.lower())
+        out[f"c{i}"] = name
+    return out
+
+
 def join_each(rows: DataFrame, each: DataFrame, on: list[str], n: str = "n", least: int = HOT_ROWS) -> DataFrame:
     """rows joined with `each`, a written table with one row for each key and n, about the number of its rows.
 

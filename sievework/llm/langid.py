@@ -11,7 +11,8 @@ fixed-size vectors (SAMPLE_ROWS * DIMS * 4 bytes at most). Everything else cover
 
 Defined results: null text or text without a letter gives `und` and score 0; null or unknown
 labels are not learned; if nothing can be learned every row is `und`; repeated rows each get
-a row; an empty table gives none; extra columns are ignored.
+a row; an empty table gives none; extra columns are kept, and one with the
+name of an output column gets `_given` behind its name.
 """
 
 from __future__ import annotations
@@ -203,7 +204,7 @@ def predict(rows: DataFrame, model: dict, text: str = "text", keep: list[str] |
     cut = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
     shape = "".join(f"c{i} {cut.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(keep))) + "lang_pred string, score double"
     out = cut.mapInArrow(_predict(C.bounded(rows).sparkContext.broadcast(model)), shape)
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed(C.beside(keep, out.columns[len(keep) :]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

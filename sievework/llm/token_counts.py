@@ -10,7 +10,8 @@ the vocabulary can't spell counts as one unknown token. Counts of words are kept
 worker's table, emptied at CACHE_WORDS; long words are not kept.
 
 Defined results: null or empty text has 0 words and tokens; repeated rows each get a row;
-an empty table gives none; extra columns are ignored.
+an empty table gives none; extra columns are kept, and one with the
+name of an output column gets `_given` behind its name.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def count(docs: DataFrame, text: str = "text", keep: list[str] | None = None, pa
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
     shape = "".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(keep)))
     out = rows.mapInArrow(_count(str(path), mark), shape + "n_words long, n_tokens long, n_unknown long")
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed(C.beside(keep, out.columns[len(keep) :]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -580,3 +580,57 @@ def test_html_long_pages():
             html.parse(make(n))
             took.append(time.process_time() - start)
         assert took[1] < 40 * took[0] + 0.5, make(3)
+
+
+CLASHING = "_id _key _row row_key removed own_key mark_id mark_key ids n_tokens text_a key rep leader line n c0 c1 kept".split()
+
+
+def test_clashing_columns(spark):
+    """Columns with the operators' own names come back as they were."""
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words + "\nsame line", "s"), (2, words + " x\nsame line", "s"), (3, "bench words here", "s"), (3, "bench words here", "s"), (None, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0))).alias(c) for c in CLASHING])
+    items = spark.createDataFrame([(1, "bench words here")], "item_id long, text string")
+    want = {
+        "quality": [(1, rows[0][1]), (2, rows[1][1])],
+        "lines": [(1, rows[0][1]), (2, words + " x"), (3, rows[2][1]), (3, rows[2][1]), (None, None)],
+        "near": [(1, rows[0][1]), (3, rows[2][1]), (None, None)],
+        "decontaminate": [(1, rows[0][1]), (2, rows[1][1]), (None, None)],
+    }
+    got = {"quality": quality.clean(docs), "lines": line_dedup.clean(docs, min_bytes=600), "near": near_dup.clean(docs), "decontaminate": decontaminate.clean(docs, items)}
+    for name, out in got.items():
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert sorted([(r.doc_id, r.text) for r in found], key=str) == sorted(want[name], key=str), name
+        assert all(r[c] == f"{c}{r.doc_id or 0}" for r in found for c in CLASHING)
+    encoded = bpe.encode(docs)
+    assert all(r.ids_given == f"ids{r.doc_id or 0}" and len(r.ids) == r.n_tokens and r.n_tokens_given == f"n_tokens{r.doc_id or 0}" for r in encoded.collect())
+    assert {"n_tokens", "n_tokens_given", "n_words"} <= set(token_counts.count(docs).columns)
+
+
+def test_bpe_long_pieces():
+    """The heap of long pieces and the matrices give the same ids, on both sides of the limit."""
+    rnd = random.Random(17)
+    pieces = ["".join(rnd.choice("abé ☃中thein") for _ in range(rnd.choice([3, 20, 90]))).encode() for _ in range(200)]
+    ids = [bpe.Codec(*map(str, bpe.default_vocabulary()), long=long).pieces(pieces) for long in (1, 40, 10**6)]
+    for own, counts in ids[1:]:
+        assert own.tolist() == ids[0][0].tolist() and counts.tolist() == ids[0][1].tolist()
+
+
+def test_language_decisions():
+    """Families by the largest margin, then votes of pairs, against plain loops over dense vectors."""
+    rnd = np.random.default_rng(18)
+    langs = [rnd.choice(["de", "nl", "es", "fr", "it", "zh"]) for _ in range(120)]
+    model = langid.fit(langs, rnd.integers(0, 9, (120, langid.DIMS)).astype(np.float32))
+    docs = [rnd.integers(0, langid.DIMS, n) for n in (1, 5, 40, 300, 40, 7)]
+    got, scores = langid.decide(model, np.concatenate(docs), np.cumsum([0, *map(len, docs)]))
+    for codes, lang, score in zip(docs, got, scores, strict=True):
+        x = np.bincount(codes, minlength=langid.DIMS) / len(codes)
+        value = lambda m: float(x @ m[0] + m[1])
+        squash = lambda v: 1 / (1 + np.exp(-2 * v))
+        family = max(model["family"], key=lambda f: value(model["family"][f]))
+        want, own = squash(value(model["family"][family])), model["families"][family]
+        votes = {a: np.mean([squash(value(model["pairs"][a, b])) if (a, b) in model["pairs"] else 1 - squash(value(model["pairs"][b, a])) for b in own if b != a]) for a in own} if len(own) > 1 else {own[0]: 1.0}
+        assert lang == max(votes, key=votes.get) and abs(score - want * max(votes.values())) < 1e-9
