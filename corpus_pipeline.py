@@ -7,9 +7,10 @@
   decontamination  documents that hold a window of a benchmark item go
   byte_bpe         token ids of each text, decoded again as a check
 
-All stages but the last return the columns of documents (n_chars follows the text where
-present). Nulls, empty texts, repeated rows and empty tables are handled as the operators'
-docstrings say; near_dedup keeps one of rows repeated with one id and text.
+All stages but the last return the columns of documents, whatever their names (n_chars follows
+the text where present); the last one adds columns, and a given one with the name of an added
+one gets `_given` behind it. Nulls, empty texts, repeated rows and empty tables are handled as
+the operators' docstrings say; near_dedup keeps one of rows repeated with one id and text.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup.clean(docs, exact_bytes=1))
+    return _counted(line_dedup.clean(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
