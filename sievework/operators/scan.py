@@ -259,7 +259,9 @@ def body_scan(objects: DataFrame, sigs: SignatureSet, *keep: str) -> DataFrame:
         found = part if found is None else found.unionByName(part)
     if len(shards) > 1:
         best = F.min_by(F.struct("body_name", "logical_name"), F.struct(F.col("_order").isNull(), "_order"))
-        found = found.groupBy(*keep).agg(best.alias("b")).select(*keep, "b.*")
+        # equal rows have equal results: each shard saw every one of them
+        found = found.groupBy(*keep).agg(best.alias("b"), (F.count(F.lit(1)) / len(shards)).cast("int").alias("_times"))
+        found = found.withColumn("b", F.explode(F.array_repeat("b", F.col("_times")))).select(*keep, "b.*")
     return found.drop("_order")
 
 

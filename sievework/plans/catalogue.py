@@ -523,7 +523,11 @@ def stream_scan(spark, sf_dir):
 
     from ..streaming.scan import Snapshots, scan_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sievework-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="sievework-")
     base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "documents")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parquet*")
@@ -534,3 +538,6 @@ def stream_scan(spark, sf_dir):
 
     scan_stream(stream, Snapshots(full_set(spark, sf_dir)), sink, f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+from . import details  # noqa: E402, F401  (adds its queries)

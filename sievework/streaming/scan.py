@@ -91,6 +91,7 @@ class Publisher:
     def __init__(self, spark: SparkSession, settings: Settings, mirrors: list[Callable[[str, bool], bytes]], load: Callable[[], SignatureSet], snapshots: Snapshots):
         self.spark, self.settings, self.mirrors, self.load, self.snapshots = spark, settings, mirrors, load, snapshots
         self.failures: dict[str, str] = {}
+        self.retired: SignatureSet | None = None
 
     def _fetch(self, name: str, header_only: bool, use):
         for mirror in self.mirrors:
@@ -136,18 +137,26 @@ class Publisher:
             out.write(bytearray(data))
         finally:
             out.close()
-        fs.delete(to, False)
-        if not fs.rename(part, to):
-            fs.delete(part, False)
-            raise OSError(f"{name}: the container could not be moved into place")
+        self._replace(part, to)
         return True
 
+    def _replace(self, part, to) -> None:
+        """Moves a file over another in one step, so that there is a container at any time."""
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        how = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        conf = sc._jsc.hadoopConfiguration()
+        hadoop.FileContext.getFileContext(part.getFileSystem(conf).getUri(), conf).rename(part, to, how)
+
     def tick(self) -> bool:
-        """One pass; True if a new snapshot was swapped in."""
+        """One pass; True if a new snapshot was swapped in. The snapshot before the last one is released."""
         self.failures.clear()
         if not any([self.update(name) for name in self.settings.databases]):
             return False
-        self.snapshots.swap(self.load())
+        old, self.retired = self.retired, self.snapshots.swap(self.load())
+        if old is not None:
+            old.release()
         return True
 
     def run(self, stop: threading.Event) -> None:

@@ -164,6 +164,20 @@ def test_shards(spark, monkeypatch):
     assert len(sigs.shards()) == 4 and scanned(spark, sigs, SAMPLE + b" ", b"xAAAAyBBBB", b"no") == want
 
 
+def test_repeated_rows(spark, monkeypatch):
+    """Equal objects keep a row each, with one shard of rules or several."""
+    from sievework.operators import sigset
+
+    rules = [parse.body_rule(f"R.{i}:0:*:{bytes([65 + i] * 4).hex()}") for i in range(3)]
+    none = SignatureSet.empty(spark)
+    sigs = SignatureSet(none.file_hashes, none.section_hashes, none.allow, none.ignored, tuple(rules))
+    rows = spark.createDataFrame([("a", bytearray(b"xBBBBy")), ("a", bytearray(b"xBBBBy")), ("b", None), ("b", None)], "object_id string, content binary")
+    for size in (sigset.SHARD_BYTES, 1):
+        monkeypatch.setattr(sigset, "SHARD_BYTES", size)
+        got = scan.body_scan(rows, sigs, "object_id").collect()
+        assert sorted((r.object_id, r.body_name) for r in got if r.body_name) == [("a", "R.1")] * 2 and len(got) == 4
+
+
 def test_stream_and_publisher(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a").write_bytes(SAMPLE)
