@@ -17,7 +17,8 @@ has no bound; a shard is the pieces of one anchor.
 Skew: counts are partial aggregations, equal pieces collapse before they meet, and the hottest
 anchors and pieces are joined back by broadcast. An anchor with more than HOT distinct pieces
 is not gathered: its windows are counted by their words, as rows, whatever their number. HOT
-bounds the memory of an automaton and doesn't show in the result.
+bounds the memory of an automaton (420 MB were measured for 20 000 pieces of 49 words) and
+doesn't show in the result.
 
 Equal pieces are those with equal anchor and content hashes (128 bits); everything else is
 compared word by word. Rows are told apart by a 64-bit hash of id and text.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, GRAM, HOT = 35, 8, 2000
+WINDOW, GRAM, HOT = 35, 8, 20_000
 
 
 def pieces(w: C.Words, hashes: np.ndarray, window: int, gram: int):
