@@ -238,14 +238,11 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         """leader, size, alone: whether a member doesn't link."""
         return scratch.keep(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.max(~F.col("linked")).alias("alone")), name)
 
-    def central(pairs: DataFrame, step: int) -> DataFrame:
-        """Groups with members that don't link, under the member nearest to what most of the group has.
+    def central(pairs: DataFrame, groups: DataFrame, step: int) -> DataFrame | None:
+        """Groups with members that don't link, under the member nearest to what most of the group has; None if all stay.
 
         What more than half of the members differ by from their leader is the leader's own oddity; the
         member whose differences are nearest to it takes over, so that the shared oddity is small."""
-        groups = groups_of(pairs, f"sizes-{step}")
-        if groups.filter("alone").isEmpty():
-            return pairs
         own = scratch.keep(C.join_each(pairs, groups.filter("alone").select("leader", "size"), ["leader"], "size"), f"alone-{step}")
         around = own.select("leader", "rep", "size", F.explode("differs").alias("e"))
         odd_ones = around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("times"), F.first("size").alias("size")).filter("size > 2 and times * 2 > size")
@@ -255,6 +252,8 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         near = C.join_each(own.select("leader", "rep", F.size("differs").alias("x")), odd_count, ["leader"], "size").join(hits, ["leader", "rep"], "left")
         best = near.groupBy("leader").agg(F.min(F.struct((F.col("x") + F.col("c") - 2 * F.coalesce("hits", F.lit(0))).alias("x"), "rep")).alias("best"), F.first("c").alias("c"))
         moved = scratch.keep(best.filter("best.x < c").select("leader", F.col("best.rep").alias("best")), f"moved-{step}")
+        if moved.isEmpty():
+            return None
         flagged = scratch.keep(groups.select("leader", "size").join(moved, "leader", "left"), f"flagged-{step}")
         flagged = C.join_each(pairs, flagged, ["leader"], "size").drop("size")
         group = flagged.filter("best is not null").select("rep", F.col("best").alias("leader"))
@@ -264,9 +263,15 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
     def examined(led: DataFrame, step: int) -> None:
         """Compares rows of rep and leader, and what doesn't link with the others of its leader."""
-        pairs = scratch.keep(central(compared(led, f"pairs-{step}"), step), f"groups-{step}")
-
-        alone = groups_of(pairs, f"examined-{step}").filter("alone").select("leader", "size")
+        pairs = compared(led, f"pairs-{step}")
+        groups = groups_of(pairs, f"sizes-{step}")
+        if groups.filter("alone").isEmpty():
+            return
+        moved = central(pairs, groups, step)
+        if moved is not None:
+            pairs = scratch.keep(moved, f"groups-{step}")
+            groups = groups_of(pairs, f"examined-{step}")
+        alone = groups.filter("alone").select("leader", "size")
         around = C.join_each(pairs, alone, ["leader"], "size").select("leader", "rep", "linked", "n", "must", "least", F.size("differs").alias("x"), F.explode("differs").alias("e"))
         shared = scratch.keep(around.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), f"shared-{step}")
         around = C.join_each(around, shared, ["leader", "e"], "times").groupBy("leader", "rep").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"), *[F.first(c).alias(c) for c in ("linked", "n", "must", "least", "x")])
@@ -296,9 +301,10 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     mixed = scratch.keep(mixed.join(tops, "bucket").select("bucket", F.col("top.rep").alias("leader"), "n"), "mixed")
     led = C.join_each(own, mixed, ["bucket"]).filter("rep <> leader").select("rep", "leader").distinct()
     led = scratch.keep(led.join(homes, ["rep", "leader"], "left_anti"), "led")
-    again = homes.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(led.select("leader").distinct(), "leader")
-    again = C.join_each(homes, scratch.keep(again, "again"), ["leader"]).filter("rep <> leader").select("rep", "leader")
-    examined(led.union(again), 1)
+    if not led.isEmpty():
+        again = homes.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(led.select("leader").distinct(), "leader")
+        again = C.join_each(homes, scratch.keep(again, "again"), ["leader"]).filter("rep <> leader").select("rep", "leader")
+        examined(led.union(again), 1)
     links = edges[0]
     for more in edges[1:]:
         links = links.unionByName(more)
