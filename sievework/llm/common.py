@@ -130,15 +130,16 @@ def join_each(rows: DataFrame, each: DataFrame, on: list[str], n: str = "n", lea
     Keys with more than 1 / (4 * shuffle partitions) of all n, fewer than 4 * shuffle partitions
     by their definition, and more than `least`, meet their rows by broadcast; all others by
     shuffle. So no key, however hot, gathers its rows in one task, and what is broadcast does
-    not grow with the data."""
+    not grow with the data. Both sides are parted by a filter on the hashes of the hot keys, as
+    few as they are; a key that shares such a hash only meets its rows by broadcast as well."""
     share = 4 * parts(rows.sparkSession)
     total, most = each.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     if most <= least or most * share <= total:
         return rows.join(each, on)
-    hot = (F.col(n) > least) & (F.col(n) * share > total)
-    many, few = each.filter(hot), each.filter(~hot)
-    rest = rows.join(F.broadcast(many.select(*on).distinct()), on, "left_anti")
-    return rows.join(F.broadcast(many), on).unionByName(rest.join(few, on))
+    key = F.xxhash64(*on)
+    found = each.filter((F.col(n) > least) & (F.col(n) * share > total)).select(key).distinct().collect()
+    hot = key.isin([r[0] for r in found])
+    return rows.filter(hot).join(F.broadcast(each.filter(hot)), on).unionByName(rows.filter(~hot).join(each.filter(~hot), on))
 
 
 # --- text in numpy ---------------------------------------------------------------------------
