@@ -558,6 +558,44 @@ def test_html_without_article(spark, sf_dir, tag):
     assert got == want
 
 
+@pytest.mark.parametrize("shard", [4, 400])
+def test_html_article_runs(spark, shard):
+    """Blocks that stand in most distinct articles of a host go, in any dealing; shared passages, copies and blocks of other hosts stay."""
+    notice, passage, half = "Sign up for our letter and never miss a story", "a passage that a third of these articles quote", "this line stands in every second one of them"
+    body = lambda i: [" ".join(f"u{i}x{k}" for k in range(20)), *[passage] * (i % 3 == 0), f"{notice} on {i}", "short block"]
+    page = lambda blocks: f"<nav>menu</nav><article>{''.join(f'<p>{b}</p>' for b in blocks)}</article>"
+    texts = {i: ("h", [*body(i), *[notice] * (i % 10 > 0)], body(i)) for i in range(30)}
+    texts |= {100 + i: ("h", [notice, "short"], [notice, "short"]) for i in range(2)}  # nothing else: whole
+    texts |= {200 + i: ("k", [*body(i), *[half] * (i % 2)], [*body(i), *[half] * (i % 2)]) for i in range(30)}  # in half of the articles
+    texts |= {300 + i: ("c", [*body(0), notice], [*body(0), notice]) for i in range(30)}  # one article
+    texts |= {400 + i: ("d", [*body(i), notice], [*body(i), notice]) for i in range(2)}
+    rows = [(i, f"http://{h}.x/{i}", page(blocks)) for i, (h, blocks, _) in texts.items()]
+    df = spark.createDataFrame([*rows, rows[1]], "page_id int, url string, html string")
+    got = html.extract(df, shard_pages=shard).collect()
+    assert len(got) == len(rows) + 1 and all(r.text == "\n\n".join(texts[r.id][2]) for r in got)
+
+
+def test_html_common_runs():
+    """Every run in most distinct articles of a host is found in a shard, where an array holds one article too; equal articles count once."""
+    import pyarrow as pa
+
+    rnd = random.Random(14)
+    for _ in range(60):
+        own = [[" ".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 4))] for _ in range(rnd.randrange(1, 9))]
+        distinct = [list(x) for x in {tuple(x) for x in own}]
+        runs = [{" ".join(w[i : i + 3]) for b in blocks for w in [b.split()] for i in range(len(w) - 2)} for blocks in distinct]
+        want = {r for x in runs for r in x if 2 * sum(r in y for y in runs) > len(runs) and sum(r in y for y in runs) >= 3}
+        coded = lambda rows: [r for b in html._codes(3)([pa.RecordBatch.from_pydict({"host": ["h"] * len(rows), "content": [0] * len(rows), "blocks": [[None, *r, None] for r in rows]})]) for r in b.column("codes").to_pylist()]
+        named = lambda rs: {int(html.run_hashes(np.frombuffer(c, np.uint16), np.ones(1, np.int64), 3)[0]) for c in coded([[r] for r in rs])}
+        for shards, size in ((1, 1 << 20), (1, -1), (3, 1 << 20)):
+            rows = sorted((i % shards, i, codes) for i, codes in enumerate(coded(distinct)) for _ in range(1 + i % 2))
+            batch = pa.RecordBatch.from_pydict({"host": ["h"] * len(rows), "shard": [r[0] for r in rows], "shards": [shards] * len(rows), "content": [r[1] for r in rows], "codes": [r[2] for r in rows]})
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(html, "ARRAY_BYTES", size)
+                got = {r for b in html._common_runs(3, 3)([batch.slice(0, 2), batch.slice(2)]) for r in b.column("run").to_pylist()}
+            assert got >= (known := named(want) if want else set()) and (got == known or (shards, size) != (1, 1 << 20))
+
+
 def test_html_structure():
     """Headings of an article's header, teasers, names in doubt, and main boxes."""
     texts = lambda page: [t for _, t in html.blocks(page)[0]]
