@@ -577,7 +577,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     common = C.join_each(places, common, ["host", "run"]).groupBy("key").agg(F.collect_set("at").alias("common"))
 
     read = read.join(sought.select("host", F.lit(True).alias("asked")), "host", "left").withColumn("asked", F.col("undecided") | F.col("asked").isNotNull())
-    judged = read.filter("asked").join(found, "key", "left").join(common, "key", "left").select("id", "url", "blocks", "kinds", "boxes", "stream", "found", "common")
+    asked = read.filter("asked").withColumn("stream", F.when(F.col("undecided"), F.col("stream")).otherwise(""))  # of use for undecided blocks alone
+    judged = asked.join(found, "key", "left").join(common, "key", "left").select("id", "url", "blocks", "kinds", "boxes", "stream", "found", "common")
     out = read.filter("not asked").select("id", "url", F.array_join("blocks", "\n\n").alias("text"))
     return out.unionByName(judged.mapInArrow(_decide(run), f"id {kind('id')}, url {kind('url')}, text string"))
 
